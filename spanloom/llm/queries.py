@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup
-from .common import table
+from . import byte_bpe, decontaminate, line_dedup, simhash, token_files
+from .common import table, work_path
+
+END_ID = 2
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), work_path(spark, "tokens"), words, END_ID)
+    return token_files.read_token_files(spark, manifest, digest=True)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "documents"))
     return docs.selectExpr("doc_id", "text", "cast(__sl_lines as bigint) n_lines", "cast(__sl_dropped as bigint) n_dropped")
@@ -84,7 +102,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op9_line_dedup)
+    named = (op1_decontaminate, op3_byte_bpe, op4_simhash, op8_token_files, op9_line_dedup)
     return {f.__name__: f for f in named}
 
 
