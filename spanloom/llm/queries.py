@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, simhash, token_files
+from . import byte_bpe, decontaminate, language, line_dedup, simhash, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).drop("shares")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -26,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), work_path(spark, "tokens"), words, END_ID)
@@ -102,7 +110,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op3_byte_bpe, op4_simhash, op8_token_files, op9_line_dedup)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op6_toxicity, op8_token_files, op9_line_dedup)
     return {f.__name__: f for f in named}
 
 
