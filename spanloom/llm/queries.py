@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language, line_dedup, simhash, token_files, toxicity
+from . import byte_bpe, decontaminate, embedding_dedup, language, line_dedup, simhash, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -45,6 +45,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr("doc_id", "text", "cast(__sl_lines as bigint) n_lines", "cast(__sl_dropped as bigint) n_dropped")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 with d as (
   select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w
@@ -110,7 +114,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op6_toxicity, op8_token_files, op9_line_dedup)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op6_toxicity, op8_token_files, op9_line_dedup, op10_embedding_dedup)
     return {f.__name__: f for f in named}
 
 
