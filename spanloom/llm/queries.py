@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, language, line_dedup, simhash, token_files, toxicity
+from . import byte_bpe, decontaminate, embedding_dedup, html_text, language, line_dedup, simhash, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -30,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -114,7 +118,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op6_toxicity, op8_token_files, op9_line_dedup, op10_embedding_dedup)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op8_token_files, op9_line_dedup, op10_embedding_dedup)
     return {f.__name__: f for f in named}
 
 
