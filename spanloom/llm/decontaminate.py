@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fold_case_words, materialise
+from .common import broadcast_if_small, fold_case_words, let, materialise
 
 #: A passage is leaked if WINDOW aligned words agree in all but SUBSTITUTIONS of them (a similarity of 0.84).
 WINDOW, SUBSTITUTIONS = 13, 2
@@ -36,7 +36,7 @@ def _seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> Data
         return F.when(F.col("__sl_n") > mask[-1], seeds).otherwise(F.array().cast("array<bigint>"))
 
     seeds = F.concat(*[of(m, mask) for m, mask in enumerate(masks)])
-    return hashed.select(*keep, "__sl_n", F.posexplode(seeds).alias("__sl_at", "__sl_seed"))
+    return hashed.select(*keep, "__sl_n", F.posexplode_outer(seeds).alias("__sl_at", "__sl_seed"))
 
 
 def _place(masks: list[tuple[int, ...]], at: str, n: str, mask_id: Column) -> Column:
@@ -92,25 +92,26 @@ def _verify(texts: DataFrame, words: DataFrame, hits: DataFrame) -> DataFrame:
     found = found.withColumnRenamed("item_id", "__sl_hit").join(
         words.withColumnRenamed("__sl_words", "__sl_item"), F.col("__sl_hit").eqNullSafe(F.col("item_id"))
     )
-    found = found.select("doc_id", "item_id", "__sl_shift", "__sl_item", fold_case_words(F.col("__sl_text")).alias("__sl_words"))
-    size = F.least(F.lit(WINDOW), F.size("__sl_item"))
-    found = found.select(
-        "*",
-        size.alias("__sl_w"),
-        F.when(size == WINDOW, WINDOW - SUBSTITUTIONS).otherwise(size).alias("__sl_need"),
-        F.greatest(F.lit(0), -F.col("__sl_shift")).alias("__sl_lo"),
-        F.least(F.size("__sl_item"), F.size("__sl_words") - F.col("__sl_shift")).alias("__sl_hi"),
-    ).where(F.col("__sl_hi") - F.col("__sl_lo") >= F.col("__sl_w"))
-    same = F.transform(
-        F.sequence(F.col("__sl_lo"), F.col("__sl_hi") - 1),
-        lambda j: (F.get("__sl_words", j + F.col("__sl_shift")) == F.get("__sl_item", j)).cast("int"),
-    )
-    found = found.withColumn("__sl_same", same)
-    good = F.filter(
-        F.sequence(F.lit(0), F.col("__sl_hi") - F.col("__sl_lo") - F.col("__sl_w")),
-        lambda s: F.aggregate(F.slice("__sl_same", s + 1, F.col("__sl_w")), F.lit(0), lambda a, x: a + x) >= F.col("__sl_need"),
-    )
-    found = found.withColumn("__sl_good", good).where(F.size("__sl_good") > 0)
+    n_item, w = F.size("__sl_item"), F.least(F.lit(WINDOW), F.size("__sl_item"))
+    need = F.when(w == WINDOW, WINDOW - SUBSTITUTIONS).otherwise(w)
+    lo = F.greatest(F.lit(0), -F.col("__sl_shift"))
+
+    def same(words: Column) -> Column:
+        """1 or 0 for each aligned word."""
+        hi = F.least(n_item, F.size(words) - F.col("__sl_shift"))
+        each = F.transform(
+            F.sequence(lo, hi - 1), lambda j: (F.get(words, j + F.col("__sl_shift")) == F.get("__sl_item", j)).cast("int")
+        )
+        return F.when(hi - lo >= w, each)
+
+    def good(each: Column) -> Column:
+        """Places in `each` at which a window agrees."""
+        sums = lambda s: F.aggregate(F.slice(each, s + 1, w), F.lit(0), lambda a, x: a + x)
+        return F.filter(F.sequence(F.lit(0), F.size(each) - w), lambda s: sums(s) >= need)
+
+    places = let(fold_case_words(F.col("__sl_text")), lambda words: let(same(words), lambda e: F.when(e.isNotNull(), good(e))))
+    found = found.select("doc_id", "item_id", "__sl_shift", w.alias("__sl_w"), lo.alias("__sl_lo"), F.explode(F.array(places)).alias("__sl_good"))
+    found = found.where(F.size("__sl_good") > 0)
     start = F.col("__sl_lo") + F.col("__sl_shift")
     return (
         found.select(
