@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, html_text, language, line_dedup, simhash, token_files, toxicity
+from . import byte_bpe, decontaminate, embedding_dedup, html_text, language, line_dedup, simhash, substring_dedup, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), work_path(spark, "tokens"), words, END_ID)
@@ -118,7 +122,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op8_token_files, op9_line_dedup, op10_embedding_dedup)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup)
     return {f.__name__: f for f in named}
 
 
