@@ -1,4 +1,4 @@
-"""Queries over the shared tables, and the SQL that each must agree with."""
+"""All queries over the shared tables, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import array_queries, text_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return text_queries.queries() | array_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.oracle_sql() | array_queries.oracle_sql()
