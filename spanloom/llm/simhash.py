@@ -250,7 +250,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     hint, same = broadcast_if_small(again, n), F.col(doc_id).eqNullSafe(F.col("__sl_again"))
     once = kept.join(hint, same, "left_anti")
     repeated = kept.join(hint, same, "left_semi").where(named).dropDuplicates([doc_id])
-    nameless = with_fingerprint(docs.where(~named), text).join(
-        found.where(F.col("component_id").isNull()).select("fp", "root"), F.col("__sl_fp") == F.col("fp")
-    )
-    return once.unionByName(repeated).unionByName(nameless.dropDuplicates(["root"]).select(*docs.columns))
+    groups = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("__sl_print"), F.col("root").alias("__sl_root"))
+    nameless = with_fingerprint(docs.where(~named), text).join(groups, F.col("__sl_fp") == F.col("__sl_print"))
+    return once.unionByName(repeated).unionByName(nameless.dropDuplicates(["__sl_root"]).select(*docs.columns))
