@@ -22,12 +22,16 @@ BUCKETS = 1 << 28
 TERMS, LEAST_DOCS, LEAST_Z = 512, 4, 4.0
 FACTORS, STEPS, RATE, SHRINK = 8, 300, 0.05, 1e-4
 THRESHOLD = 0.7
+#: Letters by which words of one stem are known, whatever their ending.
+STEM = 5
 WORD = re.compile(r"\w+")
 
 
 def term_buckets(text: str | None) -> set[int]:
-    """Hash buckets of the different lower-case words of the whole text."""
-    return {zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in set(WORD.findall((text or "").lower()))}
+    """Hash buckets of the terms of the whole text: its different lower-case words, and the beginnings of longer ones."""
+    words = set(WORD.findall((text or "").lower()))
+    words.update([f"{w[:STEM]}-" for w in words if len(w) > STEM])
+    return {zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words}
 
 
 class Machine:
