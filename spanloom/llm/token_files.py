@@ -22,6 +22,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,12 @@ BLOCK = 1 << 16
 FOOTER = struct.Struct("<QQQQQQ8s")
 LEVEL = 3
 #: Encoded words are forgotten beyond this number, which bounds a worker's memory.
-MOST_WORDS = 300_000
-#: Runs without white space as Unicode defines it; the tokenizer never joins anything across white space.
-WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
+MOST_WORDS = 500_000
+#: Runs without white space as Unicode defines it; the tokenizer joins nothing across white space. A single stop or comma
+#: at the end, after a Latin letter or a digit, is a run of its own, as it is to the tokenizer.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN = r"0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u02af"  # less the one whose lower case ends in an accent
+WORD = re.compile(rf"[^{SPACE}.,]++(?:(?=[{SPACE}]|\Z)|(?<=[{LATIN}])(?=[.,](?:[{SPACE}]|\Z)))|(?<=[{LATIN}])[.,](?=[{SPACE}]|\Z)|[^{SPACE}]+")
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -149,8 +154,8 @@ class ShardReader:
 
 
 class WordEncoder:
-    """Encodes text by a tokenizer of the tokenizers library that drops white space, one word at a time and each
-    different word once."""
+    """Encodes text by a tokenizer of the tokenizers library that drops white space and lowers case, one word at a time
+    and each different word once. Marks at a word's end are a word of their own, as they are to the tokenizer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -159,19 +164,38 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            found = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+            ends = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+
+    def _add(self, new: set[str]) -> None:
+        old = new.intersection(self.older)
+        self.known.update(zip(old, map(self.older.__getitem__, old), strict=True))
+        new = new - old
+        # A-Z can be lowered first where no accent follows that would join its letter
+        lower = {w: w.lower() for w in new if w.isascii()}
+        self._learn(sorted((new - lower.keys()) | set(lower.values()).difference(self.known)))
+        self.known.update((w, self.known[low]) for w, low in lower.items())
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         words = [WORD.findall(t or "") for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known, new = {}, list({w for ws in words for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.model.encode_batch(part, add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        found = [list(map(self.known.get, ws)) for ws in words]
+        new: set[str] = set()
+        for ws, raw in zip(words, found, strict=True):
+            new.update(compress(ws, map(not_, raw)))
+        if len(self.known) + len(new) > MOST_WORDS:  # what is met again moves on, the rest is forgotten
+            self.older, self.known = self.known, {}
+            new, found = set().union(*words), [[None]] * len(words)
+        self._add(new)
         get = self.known.__getitem__
-        for ws in words:
-            yield b"".join(map(get, ws))
+        for ws, raw in zip(words, found, strict=True):
+            yield b"".join(map(get, ws) if None in raw else raw)
 
 
 @lru_cache(maxsize=2)
