@@ -55,7 +55,7 @@ class Transducer:
         """Drops all states but the start, in place, as run() may be under way."""
         for memo in (self.pairs, self.configurations, self.number, self.arcs, self.ends):
             memo.clear()
-        self.ends[self._state(((-1, b"", ()),))] = ()
+        self._state(((-1, b"", ()),))
 
     def _state(self, key: tuple) -> int:
         at = self.number.get(key)
@@ -132,36 +132,49 @@ class Transducer:
             token = self.ranks.get(part)
             if token is not None and one in self.starts and self.closes(last, token):
                 after.append((token, one, (*waiting, token)))
-        if not after:
+        if len(after) == 1:
+            last, part, emitted = after[0]
+            key = ((last, part, ()),)
+        elif after:
+            emitted = after[0][2]
+            for _, _, waiting in after:
+                while waiting[: len(emitted)] != emitted:
+                    emitted = emitted[:-1]
+            n = len(emitted)
+            key = tuple(sorted([(last, part, waiting[n:]) for last, part, waiting in after]))
+        else:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        shared = 0
-        first = after[0][2]
-        while all(len(w) > shared and w[shared] == first[shared] for _, _, w in after) and shared < len(first):
-            shared += 1
-        key = tuple(sorted((last, part, w[shared:]) for last, part, w in after))
         if len(self.configurations) > MOST_STATES or len(self.pairs) > MOST_PAIRS:
             self.forget()
-            return self._state(key), first[:shared]
-        arc = self.arcs[state][byte] = (self._state(key), first[:shared])
+            return self._state(key), emitted
+        arc = self.arcs[state][byte] = (self._state(key), emitted)
         return arc
 
-    def _end(self, state: int) -> tuple[int, ...]:
+    def _end(self, state: int, byte: int) -> tuple[int, ...]:
+        """What is still to be emitted when the piece ends with this byte."""
+        one = bytes([byte])
         for last, part, waiting in self.configurations[state]:
-            token = self.ranks.get(part)
+            token = self.ranks.get(part + one)
             if token is not None and self.closes(last, token):
-                self.ends[state] = (*waiting, token)
-                return self.ends[state]
-        raise ValueError("no token sequence has these bytes")
+                break
+            token, single = self.ranks.get(part), self.ranks.get(one)
+            if token is not None and single is not None and self.closes(last, token) and self.closes(token, single):
+                waiting, token = (*waiting, token), single
+                break
+        else:
+            raise ValueError("no token sequence has these bytes")
+        end = self.ends[state << 8 | byte] = (*waiting, token)
+        return end
 
     def run(self, piece: bytes) -> list[int]:
         state, out, arcs = 0, [], self.arcs
-        for byte in piece:
+        for byte in piece[:-1]:
             arc = arcs[state].get(byte) or self._arc(state, byte)
             state = arc[0]
             if arc[1]:
                 out.extend(arc[1])
-        end = self.ends.get(state)
-        out.extend(self._end(state) if end is None else end)
+        if piece:
+            out.extend(self.ends.get(state << 8 | piece[-1]) or self._end(state, piece[-1]))
         return out
 
 
