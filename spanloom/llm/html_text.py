@@ -17,14 +17,14 @@ from . import html_pages
 
 #: Content that is no text of the page; comments, declarations.
 HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|template|noscript|textarea|select|iframe|object|svg|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(script|style|title|template|noscript|textarea|select|iframe|object|svg|canvas)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
     re.S | re.I,
 )
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'](?=[^"']*>))*)>""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 CUE = re.compile(r"[^\W\d_]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these, up to the nearest of the second set.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}

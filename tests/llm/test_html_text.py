@@ -58,3 +58,10 @@ def test_edges(spark):
     assert len(got) == 4 and max(r.n_chars for r in got) == page.count("<p>") * len("Sentence 1, of the text. And more of it.\n") + sum(len(str(i)) - 1 for i in range(20_000)) - 1
     assert h.page_texts(df.limit(0)).count() == 0
     assert h.extract(df).columns == ["page_id", "url", "html", "n_chars", "text"]
+
+
+def test_custom_and_self_closed_elements_hide_nothing():
+    texts = lambda page: [b.text for b in h.leaf_blocks(page)]
+    assert texts("<p>a</p><svg-icon></svg-icon><title-bar>b</title-bar><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg class='x' /><p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
+    assert texts("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == ["so x=2 holds"]
