@@ -233,8 +233,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id; of rows that repeat this doc_id one stays.
-    Of a component whose ids are all null one row stays."""
+    """docs with one document of each component: that of the smallest doc_id; of its rows that repeat this doc_id one
+    stays. Rows of one doc_id may belong to different components and are told apart by their fingerprints. Of a component whose ids are all null one row stays."""
     prints = docs.select(F.col(doc_id).alias("__sl_id"), F.col(text).alias("__sl_text"))
     prints = materialise(with_fingerprint(prints, "__sl_text").select("__sl_id", "__sl_fp"), "fingerprints")
     found = materialise(components(prints, "__sl_id"), "components")
@@ -249,7 +249,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         return kept
     hint, same = broadcast_if_small(again, n), F.col(doc_id).eqNullSafe(F.col("__sl_again"))
     once = kept.join(hint, same, "left_anti")
-    repeated = kept.join(hint, same, "left_semi").where(named).dropDuplicates([doc_id])
+    of = found.select(F.col("fp").alias("__sl_print"), F.col("root").alias("__sl_root"), F.col("component_id").alias("__sl_low"))
+    repeated = with_fingerprint(docs.where(named).join(hint, same, "left_semi"), text).join(of, F.col("__sl_fp") == F.col("__sl_print"))
+    repeated = repeated.where(F.col(doc_id) == F.col("__sl_low")).dropDuplicates([doc_id, "__sl_root"]).select(*docs.columns)
     groups = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("__sl_print"), F.col("root").alias("__sl_root"))
     nameless = with_fingerprint(docs.where(~named), text).join(groups, F.col("__sl_fp") == F.col("__sl_print"))
     return once.unionByName(repeated).unionByName(nameless.dropDuplicates(["__sl_root"]).select(*docs.columns))

@@ -95,3 +95,10 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in connected_components(df).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {300: 200}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_in_different_groups(spark):
+    texts = ["one text of the first kind", "quite another text is here", "and a third that is like none"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1]), (6, texts[2]), (6, texts[0] + " x y z u v w"), (6, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 fp", "2 root", "3 component_id")
+    assert sorted((r.doc_id, r.text) for r in s.keep_one(docs).collect()) == sorted([rows[0], *rows[2:5]])
