@@ -61,13 +61,13 @@ class Quantiser:
         """rows x PARTS x width"""
         return np.pad(x, ((0, 0), (0, self.width * PARTS - self.dim))).reshape(len(x), PARTS, self.width)
 
-    def assign(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Own list of each row, and which lists it probes (rows x lists): those whose cell begins within reach."""
+    def assign(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own list of each row, and which lists it probes (rows x lists): those whose cell begins within its reach."""
         apart = _nearest(x, self.centres)
         own = apart.argmin(axis=1)
         gap = np.maximum(self.gaps[own], 1e-12)
         border = (apart - apart[np.arange(len(x)), own][:, None]) / (2 * gap)
-        probes = border <= reach
+        probes = border <= reach[:, None]
         probes[np.arange(len(x)), own] = True
         return own, probes
 
@@ -103,7 +103,7 @@ def _valid(vector: Column, label: Column) -> Column:
 
 
 def _index(vectors: DataFrame, quantiser: Quantiser, reach: float) -> DataFrame:
-    """vectors: nid, n, label, dim, v. A member row and query rows (one per group of lists probed) for each."""
+    """vectors: nid, n, label, dim, v; reach: times the square root of the dimensions. A member row and query rows (one per group of lists probed) for each."""
     shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
     label_type = pa.string()
     names = ["label", "dim", "grp", "side", "nid", "n", "v", "own", "codes", "size", "off", "probes"]
@@ -114,7 +114,7 @@ def _index(vectors: DataFrame, quantiser: Quantiser, reach: float) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _unit([v.values.to_numpy(zero_copy_only=False) for v in part.column("v")], q.dim)
-                own, probes = q.assign(x, reach)
+                own, probes = q.assign(x, reach / np.sqrt(part.column("dim").to_numpy()))
                 codes, size, off = q.encode(x, own)
                 groups = np.add.reduceat(probes, np.arange(0, probes.shape[1], NEAR_LISTS), axis=1) > 0
                 who, grp = np.nonzero(groups)
@@ -238,7 +238,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         return rest
     chosen = single.select("v", F.xxhash64("nid").alias("h")).orderBy("h").limit(SAMPLE)
     quantiser = Quantiser(_unit([r.v for r in chosen.select("v").toLocalIterator()], dim), total)
-    reach = REACH * float(np.sqrt(max(0.0, 2 - 2 * threshold))) / float(np.sqrt(dim))
+    reach = REACH * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     indexed = materialise(_index(single.select("label", "dim", "nid", "n", "v"), quantiser, reach), "index")
     found = materialise(_compare(_blocks(indexed), quantiser, threshold), "found")
     links = found.groupBy(F.col("u").alias("nid")).agg(F.sum("links").alias("links"))

@@ -70,3 +70,17 @@ def test_recall_on_the_table(spark):
     np.fill_diagonal(near, False)
     want = dict(zip([r[0] for r in rows], near.sum(axis=1).tolist(), strict=True))
     assert sum(r[1] for r in got) >= 0.99 * sum(want.values()) and all(r[1] <= want[r[0]] for r in got)
+
+
+def test_a_longer_vector_does_not_narrow_the_search(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(3000):  # pairs of neighbours
+        v = rng.normal(size=16) if k % 2 == 0 else np.array(rows[-1][1]) + rng.normal(size=16) * 0.3
+        rows.append((k, [float(x) for x in np.float32(v)], 1))
+    rows.append((9999, [float(x) for x in np.float32(rng.normal(size=4096))], 1))
+    x = np.array([v for _, v, _ in rows[:-1]], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    there = int((x @ x.T >= e.THRESHOLD).sum()) - len(x)
+    found = sum(r.n_links for r in e.near_vectors(frame(spark, rows)).collect())
+    assert 0.99 * there <= found <= there
