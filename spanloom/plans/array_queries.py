@@ -142,7 +142,7 @@ SHAPES = f"""with {_LENGTHS} select cast(m as bigint) n, cast(2 as bigint) n_row
 
 
 def flatzip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lengths(spark, sf_dir).withColumn("b", F.transform(F.slice("a", 2, 100000), lambda x: x * 2))
+    rows = _lengths(spark, sf_dir).withColumn("b", F.transform(F.slice("a", F.lit(2), F.size("a")), lambda x: x * 2))
     return bigints(arrays.flat_zip(rows, ["item_id"], ["a", "b"]))
 
 

@@ -41,3 +41,10 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_flatzip_of_a_very_long_item(spark, tmp_path):
+    from spanloom.plans import array_queries
+
+    spark.createDataFrame([(1, "a " * 100_003)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert array_queries.flatzip(spark, str(tmp_path)).count() == 100_002
