@@ -22,11 +22,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +35,21 @@ MAGIC = b"SLPLANE1"
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<QQQQQQ8s")
 LEVEL = 3
-#: Encoded words are forgotten beyond this number, which bounds a worker's memory.
-MOST_WORDS = 500_000
-#: Runs without white space as Unicode defines it; the tokenizer joins nothing across white space. A single stop or comma
-#: at the end, after a Latin letter or a digit, is a run of its own, as it is to the tokenizer.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LATIN = r"0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u02af"  # less the one whose lower case ends in an accent
-WORD = re.compile(rf"[^{SPACE}.,]++(?:(?=[{SPACE}]|\Z)|(?<=[{LATIN}])(?=[.,](?:[{SPACE}]|\Z)))|(?<=[{LATIN}])[.,](?=[{SPACE}]|\Z)|[^{SPACE}]+")
+#: Encoded words are forgotten beyond this number, or this many bytes of text, which bounds a worker's memory.
+MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
+#: Bytes of text that are split into words at once, and words that are joined to be encoded by one call.
+TEXT_BYTES, CALL = 8 << 20, 64
+#: What Arrow takes as white space and the tokenizer does not.
+ODD_SPACE = "[\x1c-\x1f]"
+#: Parts the new words of a call; white space around it keeps it a token by itself.
+MARK = "\x01"
+#: A single stop or comma at a word's end, after a Latin letter or a digit, is a token by itself (less the letter whose lower
+#: case ends in an accent).
+STOP = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{2af}][.,]$"
+#: Words of letters that stay letters when they are composed and lowered: the last of their tokens ends in END, no other.
+PLAIN, END = r"^[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+$", "</w>"
+#: Bytes of input, as the plan estimates them, that go to a shard at most on average.
+SHARD_BYTES = 256 << 20
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -153,49 +160,113 @@ class ShardReader:
             before += n
 
 
+def _gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray, spare: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs that lie one after another in flat the runs `which`, each followed by `spare` free places, and where
+    each ends."""
+    n = size[which]
+    first = (np.cumsum(size) - size)[which]
+    whole = n + spare
+    after = np.cumsum(whole)
+    at = np.repeat(first - (after - whole), whole)
+    at += np.arange(len(at))
+    return flat[np.minimum(at, max(0, len(flat) - 1))] if len(flat) else np.zeros(len(at), flat.dtype), after
+
+
 class WordEncoder:
-    """Encodes text by a tokenizer of the tokenizers library that drops white space and lowers case, one word at a time
-    and each different word once. Marks at a word's end are a word of their own, as they are to the tokenizer."""
+    """Encodes text by a tokenizer of the tokenizers library that drops white space and lowers case: words without white
+    space are encoded each by itself and each different one once, as the tokenizer joins nothing across white space.
+    Texts that hold the string of a special token, or a character that Arrow takes for white space and the tokenizer
+    doesn't, go to the library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.mark,) = self.model.encode(MARK, add_special_tokens=False).ids
+        special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.whole = "|".join([ODD_SPACE, *special])
+        vocabulary = self.model.get_vocab()
+        self.last, self.marks = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        ends = [i for t, i in vocabulary.items() if t.endswith(END)]
+        self.last[ends], self.marks[self.mark] = True, True
+        self.stops = [self.model.encode(x, add_special_tokens=False).ids[0] for x in (".", ",")]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            found = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
-            ends = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-
-    def _add(self, new: set[str]) -> None:
-        old = new.intersection(self.older)
-        self.known.update(zip(old, map(self.older.__getitem__, old), strict=True))
-        new = new - old
-        # A-Z can be lowered first where no accent follows that would join its letter
-        lower = {w: w.lower() for w in new if w.isascii()}
-        self._learn(sorted((new - lower.keys()) | set(lower.values()).difference(self.known)))
-        self.known.update((w, self.known[low]) for w, low in lower.items())
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [WORD.findall(t or "") for t in texts]
-        found = [list(map(self.known.get, ws)) for ws in words]
-        new: set[str] = set()
-        for ws, raw in zip(words, found, strict=True):
-            new.update(compress(ws, map(not_, raw)))
-        if len(self.known) + len(new) > MOST_WORDS:  # what is met again moves on, the rest is forgotten
-            self.older, self.known = self.known, {}
-            new, found = set().union(*words), [[None]] * len(words)
-        self._add(new)
-        get = self.known.__getitem__
-        for ws, raw in zip(words, found, strict=True):
-            yield b"".join(map(get, ws) if None in raw else raw)
+        self.held = 0
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _called(self, new: list[str], part: str, closes: np.ndarray) -> list[bytes]:
+        """Ids of words that are joined by `part` and end where an id closes."""
+        calls, out = [part.join([*new[i : i + CALL], ""]) for i in range(0, len(new), CALL)], []
+        for found in self.model.encode_batch_fast(calls, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            cut = closes[ids]
+            raw, ends = ids[ids != self.mark].tobytes(), (4 * np.cumsum(ids != self.mark)[cut]).tolist()
+            out.extend([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        return out
+
+    def _words(self, coded: pa.Array) -> list[bytes]:
+        """Ids of words, each different."""
+        words = coded.to_pylist()
+        found = list(map(self.known.get, words))
+        new = [i for i, b in enumerate(found) if b is None]
+        if new:
+            if len(self.known) > MOST_WORDS or self.held > MOST_BYTES:  # what is met again moves on, the rest is forgotten
+                self.older, self.known, self.held = self.known, {}, 0
+            older = self.older.get
+            for i in new:
+                found[i] = older(words[i])
+            new = np.array([i for i in new if found[i] is None], np.int64)
+            left = coded.take(pa.array(new))
+            odd = pc.match_substring(left, MARK).to_numpy(zero_copy_only=False)
+            for i in new[odd].tolist():
+                found[i] = self._library(words[i])
+            plain = pc.match_substring_regex(left, PLAIN).to_numpy(zero_copy_only=False)
+            for which, part, closes in ((plain, " ", self.last), (~plain & ~odd, f" {MARK} ", self.marks)):
+                which = new[which].tolist()
+                for i, ids in zip(which, self._called([words[i] for i in which], part, closes), strict=True):
+                    found[i] = ids
+            self.known.update(zip(words, found, strict=True))
+            self.held += pc.sum(pc.binary_length(left)).as_py() or 0
+        return found
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (with the end of the last)."""
+        words = pc.utf8_split_whitespace(texts)
+        ends = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        which, different = coded.indices.to_numpy(), coded.dictionary
+        # A-Z is lowered here where no accent follows that would join its letter
+        stop = pc.match_substring_regex(different, STOP)
+        base = pc.if_else(stop, pc.utf8_slice_codeunits(different, 0, -1), different)
+        coded = pc.if_else(pc.string_is_ascii(base), pc.ascii_lower(base), base).dictionary_encode()
+        raw = self._words(coded.dictionary)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, _ = _gather(np.frombuffer(b"".join(raw), "<u4"), size, coded.indices.to_numpy(), stop.to_numpy(zero_copy_only=False))
+        size = size[coded.indices.to_numpy()] + stop.to_numpy(zero_copy_only=False)
+        dots = np.flatnonzero(stop.to_numpy(zero_copy_only=False))
+        flat[np.cumsum(size)[dots] - 1] = np.where(pc.ends_with(different, ".").to_numpy(zero_copy_only=False)[dots], self.stops[0], self.stops[1])
+        ids, after = _gather(flat, size, which)
+        return ids, np.concatenate([[0], after])[ends - ends[0]]
+
+    def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian uint32 ids of each text, in order; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy()
+        start = 0
+        while start < len(texts):
+            end = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), TEXT_BYTES, side="right")))
+            part = texts.slice(start, end - start)
+            odd = whole[start:end]
+            ids, cut = self._plain(pc.if_else(pa.array(odd), "", part) if odd.any() else part)
+            raw, cut = ids.tobytes(), (4 * cut).tolist()
+            for k in range(end - start):
+                yield self._library(part[k].as_py()) if odd[k] else raw[cut[k] : cut[k + 1]]
+            start = end
 
 
 @lru_cache(maxsize=2)
@@ -203,6 +274,13 @@ def _words(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _shards(docs: DataFrame) -> int:
+    """As many as docs has partitions, and no fewer than SHARD_BYTES ask for."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(1, docs.rdd.getNumPartitions())
+    return max(parts, min(64 * parts, -(-size // SHARD_BYTES)))  # an estimate may be far too large
+
+
 def write_token_files(
     docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", bits: bool = False, shards: int | None = None
 ) -> str:
@@ -214,7 +292,7 @@ def write_token_files(
     partitioned, so no task holds more than its range; a lost task writes its shard anew under another name and only
     shards of tasks that ended are listed. An empty table gives a manifest without shards.
     """
-    n = shards or max(1, docs.rdd.getNumPartitions())
+    n = shards or _shards(docs)
     order = ("__sl_id", "__sl_tie", "__sl_row")
     rows = docs.select(
         docs[doc_id].cast("bigint").alias("__sl_id"),
@@ -230,14 +308,11 @@ def write_token_files(
         system.create_dir(folder, recursive=True)
         name, code, out, first = f"shard-{uuid.uuid4().hex}", _words(tokenizer), None, None
         for batch in it:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                keys = part.column(0).to_pylist()
-                for key, ids in zip(keys, code.encode_batch(part.column(1).to_pylist()), strict=True):
-                    if out is None:
-                        file = system.open_output_stream(f"{folder}/{name}.part")
-                        out, first = ShardWriter(file, bits), key
-                    out.add(key, ids + end)
+            for key, ids in zip(batch.column(0).to_pylist(), code.encode_batch(batch.column(1)), strict=True):
+                if out is None:
+                    file = system.open_output_stream(f"{folder}/{name}.part")
+                    out, first = ShardWriter(file, bits), key
+                out.add(key, ids + end)
         if out is not None:
             out.close()
             file.close()

@@ -1,11 +1,11 @@
 import io
 import json
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
-import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
 
@@ -47,13 +47,25 @@ def test_shards(bits, monkeypatch):
         at += len(ids)
 
 
+def ids_of(code, texts):
+    return [np.frombuffer(raw, "<u4").tolist() for raw in code.encode_batch(pa.array(texts, pa.string()))]
+
+
 def test_words_encode_as_whole_texts():
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
-    code = f.WordEncoder(WORDS)
-    texts = ["", None, "It's 3.5% of the Ünïcode text…", "a\x1c!b c\u0085d", "<|endoftext|> ΑΣ Σ", "é ́x 日本 😀", "x" * 5000]
-    for t, raw in zip(texts, code.encode_batch(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    texts = ["", None, "It's 3.5% of the Ünïcode text…", "a\x1c!b c\u0085d", "one<|endoftext|> ΑΣ Σ <|startoftext|>", "é ́x 日本 😀", "x" * 5000, "İ. ŉ, A.. b., c.\x01 \x01"]
+    assert ids_of(f.WordEncoder(WORDS), texts) == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_random_texts_and_forgotten_words(monkeypatch):
+    monkeypatch.setattr(f, "MOST_WORDS", 50)
+    monkeypatch.setattr(f, "TEXT_BYTES", 300)
+    whole, code = Tokenizer.from_file(WORDS), f.WordEncoder(WORDS)
+    rng = random.Random(3)
+    bits = [*"abAB.,'sT\u0130\u0301\x1c\x1f\x85 \t\n\u200b\u3000\u00e91\u00b2\u00bd\u00df\u03c2\u0958", "<|endoftext|>", "\x01", "中", "😀", "word", "Word.", "'re", "ŉ", "\u1112\u1161"]
+    for _ in range(4):
+        texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(400)]
+        assert ids_of(code, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip(spark, tmp_path):
