@@ -65,7 +65,9 @@ def test_random_texts_and_forgotten_words(monkeypatch):
     bits = [*"abAB.,'sT\u0130\u0301\x1c\x1f\x85 \t\n\u200b\u3000\u00e91\u00b2\u00bd\u00df\u03c2\u0958", "<|endoftext|>", "\x01", "中", "😀", "word", "Word.", "'re", "ŉ", "\u1112\u1161"]
     for _ in range(4):
         texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(400)]
-        assert ids_of(code, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids_of(code, texts) == want
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in code.encode_batch(pa.array(texts).slice(150, 200))] == want[150:350]
 
 
 def test_round_trip(spark, tmp_path):
