@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -13,9 +14,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Memoised states, pairs and pieces are forgotten beyond these numbers, which bounds a worker's memory.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 400_000, 300_000
+#: States and pairs are memoised up to these numbers, pieces of up to SHORT characters too, which bounds a worker's memory to
+#: about 120 MB besides the vocabulary. States beyond are made anew where they are met; after STALE of them all are forgotten.
+MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT = 80_000, 200_000, 120_000, 40
+STALE = 50 * MOST_STATES
+#: Ids that are decoded in one step.
+STEP = 4096
 NONE = 1 << 60
+BYTES = [bytes([i]) for i in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -26,6 +32,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
 
 
+#: The configuration before the first byte.
+START = ((-1, b"", ()),)
+
+
 class Transducer:
     """Maps the bytes of one piece to BPE tokens, a byte at a time.
 
@@ -44,25 +54,25 @@ class Transducer:
         self.starts = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.longest = max(map(len, ranks), default=0)
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.configurations: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Drops all states but the start, in place, as run() may be under way."""
-        for memo in (self.pairs, self.configurations, self.number, self.arcs, self.ends):
+        """Drops all states but the start."""
+        for memo in (self.configurations, self.number, self.arcs, self.ends):
             memo.clear()
-        self._state(((-1, b"", ()),))
+        self.made = 0
+        self._state(START)
 
     def _state(self, key: tuple) -> int:
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.configurations)
             self.configurations.append(key)
-            self.arcs.append({})
         return at
 
     def by_merging(self, piece: bytes, least: int = 1) -> list[bytes]:
@@ -98,83 +108,106 @@ class Transducer:
         return found
 
     def closes(self, last: int, token: int) -> bool:
-        """Whether `token` merges from its bytes, and no merge crosses the border when it follows `last`. Merges come
-        in order of rank, so at any time the parts beside the border are those of the highest ranks so far."""
-        right = self.edge(token, 0)
-        if last < 0 or not right:
-            return bool(right)
-        fits = self.pairs.get((last, token))
+        """Whether `token` merges from its bytes, and no merge crosses the border when it follows `last`."""
+        key = (last + 1) << 32 | token
+        fits = self.pairs.get(key)
         if fits is None:
-            left = self.edge(last, 1)
-            i, j, m, n = 0, 0, len(left) - 1, len(right) - 1
-            while True:
-                across = self.ranks.get(left[i][0] + right[j][0], NONE)
-                next_left = left[i + 1][1] if i < m else NONE
-                next_right = right[j + 1][1] if j < n else NONE
-                if across < next_left and across <= next_right and across < NONE:
-                    fits = False
-                    break
-                if next_left == NONE and next_right == NONE:
-                    fits = True
-                    break
-                if next_left <= next_right:
-                    i += 1
-                else:
-                    j += 1
-            self.pairs[last, token] = fits
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
+            fits = self.pairs[key] = self._fits(last, token)
         return fits
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        one, after = bytes([byte]), []
-        for last, part, waiting in self.configurations[state]:
-            if part + one in self.starts:
-                after.append((last, part + one, waiting))
-            token = self.ranks.get(part)
-            if token is not None and one in self.starts and self.closes(last, token):
-                after.append((token, one, (*waiting, token)))
-        if len(after) == 1:
-            last, part, emitted = after[0]
-            key = ((last, part, ()),)
-        elif after:
-            emitted = after[0][2]
-            for _, _, waiting in after:
-                while waiting[: len(emitted)] != emitted:
-                    emitted = emitted[:-1]
-            n = len(emitted)
-            key = tuple(sorted([(last, part, waiting[n:]) for last, part, waiting in after]))
-        else:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        if len(self.configurations) > MOST_STATES or len(self.pairs) > MOST_PAIRS:
-            self.forget()
-            return self._state(key), emitted
-        arc = self.arcs[state][byte] = (self._state(key), emitted)
-        return arc
-
-    def _end(self, state: int, byte: int) -> tuple[int, ...]:
-        """What is still to be emitted when the piece ends with this byte."""
-        one = bytes([byte])
-        for last, part, waiting in self.configurations[state]:
-            token = self.ranks.get(part + one)
+    def _fits(self, last: int, token: int) -> bool:
+        """Merges come in order of rank, so at any time the parts beside the border are those of the highest ranks so far."""
+        right = self.edge(token, 0)
+        if last < 0 or not right:
+            return bool(right)
+        left = self.edge(last, 1)
+        i, j, m, n = 0, 0, len(left) - 1, len(right) - 1
+        while True:
+            across = self.ranks.get(left[i][0] + right[j][0], NONE)
+            next_left = left[i + 1][1] if i < m else NONE
+            next_right = right[j + 1][1] if j < n else NONE
+            if across < next_left and across <= next_right and across < NONE:
+                return False
+            if next_left == NONE and next_right == NONE:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _closing(self, configurations: tuple) -> tuple[int, tuple[int, ...]]:
+        """The last token of what was read, and all tokens not yet emitted; (-1, ()) of nothing, (-2, ()) if no sequence has
+        these bytes. As the encoding is unique, one configuration closes at most."""
+        ranks = self.ranks
+        for last, part, waiting in configurations:
+            token = ranks.get(part)
             if token is not None and self.closes(last, token):
-                break
-            token, single = self.ranks.get(part), self.ranks.get(one)
-            if token is not None and single is not None and self.closes(last, token) and self.closes(token, single):
-                waiting, token = (*waiting, token), single
-                break
-        else:
+                return token, (*waiting, token)
+        return (-1 if configurations == START else -2), ()
+
+    def _step(self, configurations: tuple, one: bytes) -> tuple[tuple, tuple[int, ...]]:
+        """The configurations after a byte, and the tokens that all of them share."""
+        starts, after = self.starts, []
+        for last, part, waiting in configurations:
+            grown = part + one
+            if grown in starts:
+                after.append((last, grown, waiting))
+        if one in starts:
+            token, waiting = self._closing(configurations)
+            if token >= 0:
+                after.append((token, one, waiting))
+        if not after:
+            raise ValueError(f"the vocabulary has no token for byte {one[0]}")
+        emitted = after[0][2]
+        for _, _, waiting in after[1:]:
+            while waiting[: len(emitted)] != emitted:
+                emitted = emitted[:-1]
+        n = len(emitted)
+        if n:
+            after = [(last, part, waiting[n:]) for last, part, waiting in after]
+        return tuple(after), emitted
+
+    def _last(self, configurations: tuple) -> tuple[int, ...]:
+        """What is still to be emitted when the piece ends."""
+        token, waiting = self._closing(configurations)
+        if token == -2:
             raise ValueError("no token sequence has these bytes")
-        end = self.ends[state << 8 | byte] = (*waiting, token)
-        return end
+        return waiting
+
+    def _unmemoised(self, configurations: tuple, left: bytes, out: list[int]) -> list[int]:
+        self.made += len(left)
+        for byte in left:
+            configurations, emitted = self._step(configurations, BYTES[byte])
+            out.extend(emitted)
+        out.extend(self._last(configurations))
+        return out
 
     def run(self, piece: bytes) -> list[int]:
-        state, out, arcs = 0, [], self.arcs
-        for byte in piece[:-1]:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
+        state, out, arcs, n = 0, [], self.arcs, len(piece) - 1
+        if self.made > STALE:
+            self.forget()
+        for i, byte in enumerate(piece):
+            key = state << 8 | byte
+            if i == n:
+                end = self.ends.get(key)
+                if end is None:
+                    after, emitted = self._step(self.configurations[state], BYTES[byte])
+                    end = (*emitted, *self._last(after))
+                    if len(self.ends) < MOST_STATES:
+                        self.ends[key] = end
+                out.extend(end)
+                break
+            arc = arcs.get(key)
+            if arc is None:
+                if len(self.configurations) >= MOST_STATES or len(arcs) >= 2 * MOST_STATES:
+                    return self._unmemoised(self.configurations[state], piece[i:], out)
+                after, emitted = self._step(self.configurations[state], BYTES[byte])
+                arc = arcs[key] = (self._state(after), emitted)
             state = arc[0]
             if arc[1]:
                 out.extend(arc[1])
-        if piece:
-            out.extend(self.ends.get(state << 8 | piece[-1]) or self._end(state, piece[-1]))
         return out
 
 
@@ -195,7 +228,7 @@ class Encoder:
             ids = (token,) if token is not None else tuple(self.transducer.run(raw))
         if len(self.pieces) >= MOST_PIECES:  # what is met again moves on, the rest is forgotten
             self.older, self.pieces = self.pieces, {}
-        if len(piece) <= 64:
+        if len(piece) <= SHORT:
             self.pieces[piece] = ids
         return ids
 
@@ -219,68 +252,68 @@ def _room(pending: bytes) -> tuple[int, range]:
 
 def utf8_step(pending: bytes, raw: bytes) -> tuple[str, bytes]:
     """Feeds raw to the state machine whose state is the unfinished character's bytes: text made, next state. Each
-    longest ill-formed start of a character becomes one U+FFFD."""
-    out = []
-    for byte in raw:
-        if pending:
-            size, may = _room(pending)
-            if byte in may:
-                pending += bytes([byte])
-                if len(pending) == size:
-                    out.append(pending.decode())
-                    pending = b""
-                continue
-            out.append("�")
-            pending = b""
+    longest ill-formed start of a character becomes one U+FFFD. The machine itself steps at both ends of raw only, where a
+    character may be unfinished: whole characters between are taken together."""
+    raw = pending + raw
+    for n in range(1, min(4, len(raw) + 1)):  # an unfinished character has 3 bytes at most
+        byte = raw[-n]
+        if byte >= 0xC0:
+            left = _unfinished(raw[-n:])
+            return raw[: len(raw) - len(left)].decode("utf-8", "replace"), left
         if byte < 0x80:
-            out.append(chr(byte))
-        elif 0xC2 <= byte <= 0xF4:
-            pending = bytes([byte])
-        else:
-            out.append("�")
-    return "".join(out), pending
+            break
+    return raw.decode("utf-8", "replace"), b""
+
+
+def _unfinished(tail: bytes) -> bytes:
+    """tail, if it may still become a character, or nothing."""
+    if not 0xC2 <= tail[0] <= 0xF4:
+        return b""
+    pending = tail[:1]
+    for byte in tail[1:]:
+        size, may = _room(pending)
+        if byte not in may or len(pending) == size:
+            return b""
+        pending += bytes([byte])
+    return pending if len(pending) < _room(pending)[0] else b""
 
 
 class Decoder:
-    """Streaming decoder: text comes as soon as its characters are complete, whatever the tokens' borders."""
+    """Streaming decoder: text comes as soon as its characters are complete, whatever the tokens' borders. The state is the
+    bytes of an unfinished character; the bytes of STEP tokens are one step."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.arcs: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
         self.state = b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        out, state = [], self.state
-        arcs = self.arcs[state]
-        for i in ids:
-            arc = arcs.get(i)
-            if arc is None:
-                arc = arcs[i] = utf8_step(state, self.bytes_of[i])
-            out.append(arc[0])
-            if arc[1] != state:
-                state = arc[1]
-                if len(self.arcs) > 4096:
-                    self.arcs = {b"": self.arcs[b""]}
-                arcs = self.arcs.setdefault(state, {})
-        self.state = state
+        out, ids = [], iter(ids)
+        while raw := b"".join(map(self.bytes_of.__getitem__, islice(ids, STEP))):
+            text, self.state = utf8_step(self.state, raw)
+            out.append(text)
         return "".join(out)
 
     def finish(self) -> str:
         left, self.state = self.state, b""
-        return "�" if left else ""
+        return "\ufffd" if left else ""
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.feed(ids) + self.finish()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(path)
+
+
+@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+    return Encoder(_ranks(path), pattern)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _decoder(path: str) -> Decoder:
-    return Decoder(read_ranks(path))
+    return Decoder(_ranks(path))
 
 
 def _added(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
