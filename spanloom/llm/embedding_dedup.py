@@ -13,14 +13,16 @@ from .common import broadcast_if_small, materialise
 from .graph import connected_components, local_components
 
 THRESHOLD = 0.93
-#: Vectors that the quantisers are fitted on: those whose rows hash lowest.
-SAMPLE = 20_000
+#: Vectors that the quantisers are fitted on: those whose rows hash lowest, so many for each list and so many in all. Lists
+#: are about the square root of the vectors, up to MOST_SAMPLE / PER_LIST; beyond FLAT they are fitted in two levels.
+PER_LIST, LEAST_SAMPLE, MOST_SAMPLE, FLAT = 16, 20_000, 1 << 18, 512
 PARTS, CODES, ROUNDS = 8, 64, 8
-#: Lists that share a shuffle key, and the members and queries that one task compares at most.
-NEAR_LISTS, BLOCK = 16, 1024
+#: Members and queries that one task compares at most.
+BLOCK = 4096
 #: A list is probed if the query lies within this much of its border, in units of the largest distance of a link over
-#: the square root of the dimensions. A neighbour steps across a border by one such unit on average.
-REACH = 4.0
+#: the square root of the dimensions. A neighbour steps across a border by one such unit on average. A link is missed only
+#: if neither of its vectors probes the other's list.
+REACH = 1.75
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -42,34 +44,53 @@ def _cluster(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
+def list_count(n: int) -> int:
+    """Lists for n vectors."""
+    return min(max(PER_LIST, int(2 ** np.ceil(np.log2(max(n, 1)) / 2))), MOST_SAMPLE // PER_LIST)
+
+
+def _centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means centres; of many, the centres of the rows around each of the square root of k."""
+    if k <= FLAT:
+        return _cluster(x, k, seed)
+    top = _cluster(x, int(np.sqrt(k)), seed)
+    own = np.concatenate([_nearest(x[i : i + 4096], top).argmin(axis=1) for i in range(0, len(x), 4096)])
+    return np.concatenate([_cluster(x[own == t], max(1, round(k * (own == t).mean())), seed + 1) for t in range(len(top)) if (own == t).any()])
+
+
 class Quantiser:
-    """Coarse centres, in an order that puts near ones together, and a codebook for each part of the residuals."""
+    """Coarse centres, and a codebook for each part of the residuals."""
 
     def __init__(self, sample: np.ndarray, n: int, seed: int = 11):
         """sample: unit vectors (shorter ones padded by zeros); n: vectors to be indexed, about sqrt(n) lists."""
-        lists = min(max(NEAR_LISTS, int(2 ** np.ceil(np.log2(max(n, 1)) / 2))), max(1, len(sample) // 16))
-        centres = _cluster(sample, lists, seed)
-        axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0] if len(centres) > 1 else np.ones(sample.shape[1])
-        self.centres = centres[np.argsort(centres @ axis, kind="stable")]
+        self.centres = _centres(sample, min(list_count(n), max(1, len(sample) // PER_LIST)), seed)
         self.dim = sample.shape[1]
         self.width = -(-self.dim // PARTS)
-        left = self.split(sample - self.centres[_nearest(sample, self.centres).argmin(axis=1)])
+        few = sample[:LEAST_SAMPLE]
+        near = np.concatenate([_nearest(few[i : i + 1024], self.centres).argmin(axis=1) for i in range(0, len(few), 1024)])
+        left = self.split(few - self.centres[near])
         self.books = [_cluster(left[:, p], CODES, seed + 1 + p) for p in range(PARTS)]
-        self.gaps = np.sqrt(_nearest(self.centres, self.centres))
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """rows x PARTS x width"""
         return np.pad(x, ((0, 0), (0, self.width * PARTS - self.dim))).reshape(len(x), PARTS, self.width)
 
-    def assign(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own list of each row, and which lists it probes (rows x lists): those whose cell begins within its reach."""
+    def assign(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own list of each row; rows and the lists they probe: those whose cell begins within a row's reach, not its own."""
         apart = _nearest(x, self.centres)
         own = apart.argmin(axis=1)
-        gap = np.maximum(self.gaps[own], 1e-12)
-        border = (apart - apart[np.arange(len(x)), own][:, None]) / (2 * gap)
-        probes = border <= reach[:, None]
-        probes[np.arange(len(x)), own] = True
-        return own, probes
+        first = np.arange(len(x))
+        cells, which = np.unique(own, return_inverse=True)
+        gap = np.sqrt(_nearest(self.centres[cells], self.centres))[which]
+        probes = apart - apart[first, own][:, None] <= 2 * gap * reach[:, None]
+        probes[first, own] = False
+        return own, *np.nonzero(probes)
+
+    def reaches(self, x: np.ndarray, own: np.ndarray, to: np.ndarray, reach: float) -> np.ndarray:
+        """Whether row i, of the list own[i], probes the list to[i]."""
+        a, b = self.centres[own], self.centres[to]
+        apart = ((x - b) ** 2).sum(axis=1) - ((x - a) ** 2).sum(axis=1)
+        return (own != to) & (apart <= 2 * reach * np.sqrt(((a - b) ** 2).sum(axis=1)))
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes (rows x PARTS), squared length of what they stand for, distance of the row from that."""
@@ -78,22 +99,29 @@ class Quantiser:
         back = np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1)[:, : self.dim] + self.centres[own]
         return codes.astype(np.uint8), (back**2).sum(axis=1), np.sqrt(((x - back) ** 2).sum(axis=1))
 
-    def candidates(self, q: np.ndarray, own: np.ndarray, codes: np.ndarray, size: np.ndarray, off: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, member) whose table-lookup distance less the member's own quantising distance is within limit;
+    def candidates(self, q: np.ndarray, own: int, codes: np.ndarray, size: np.ndarray, off: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, member of the list own) whose table-lookup distance less the member's own quantising distance is within limit;
         by the triangle inequality that leaves out no pair whose true distance is."""
         parts = self.split(q)
-        dots = (q @ self.centres.T)[:, own]
+        dots = np.repeat((q @ self.centres[own])[:, None], len(codes), axis=1)
         for p, book in enumerate(self.books):
             dots += (parts[:, p] @ book.T)[:, codes[:, p]]
         apart = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + size - 2 * dots, 0))
         return np.nonzero(apart <= limit + off + 1e-9)
 
 
-def _unit(raw: list, dim: int) -> np.ndarray:
-    out = np.zeros((len(raw), dim))
-    for i, v in enumerate(raw):
-        out[i, : len(v)] = v
-    return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
+def _unit(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Rows of length one in double precision, filled up by zeros to dim."""
+    raw = np.pad(raw.astype(np.float64), ((0, 0), (0, dim - raw.shape[1])))
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # squares of very small or large ones would be 0 or infinite
+    return raw / np.sqrt((raw**2).sum(axis=1, keepdims=True))
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False) for v in column]
+
+
+BLOCKS = "array<struct<s:tinyint,a:int,b:int>>"
 
 
 def _valid(vector: Column, label: Column) -> Column:
@@ -103,116 +131,115 @@ def _valid(vector: Column, label: Column) -> Column:
 
 
 def _index(vectors: DataFrame, quantiser: Quantiser, reach: float) -> DataFrame:
-    """vectors: nid, n, label, dim, v; reach: times the square root of the dimensions. A member row and query rows (one per group of lists probed) for each."""
+    """vectors: nid, n, label, dim, v; reach: times the square root of the dimensions. Rows of a list: each vector as a member
+    (side 0) of its own, with its codes, and as a query (side 1) of those that it probes. Members meet as queries too."""
     shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
-    label_type = pa.string()
-    names = ["label", "dim", "grp", "side", "nid", "n", "v", "own", "codes", "size", "off", "probes"]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
+        step = max(64, (1 << 21) // len(q.centres))
         for batch in it:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = _unit([v.values.to_numpy(zero_copy_only=False) for v in part.column("v")], q.dim)
-                own, probes = q.assign(x, reach / np.sqrt(part.column("dim").to_numpy()))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                raw, dims = _rows(part.column("v")), part.column("dim").to_numpy()
+                x = np.zeros((len(raw), q.dim))
+                for d in np.unique(dims):
+                    of = np.flatnonzero(dims == d)
+                    x[of] = _unit(np.stack([raw[i] for i in of]), q.dim)
+                own, who, lists = q.assign(x, reach / np.sqrt(dims))
                 codes, size, off = q.encode(x, own)
-                groups = np.add.reduceat(probes, np.arange(0, probes.shape[1], NEAR_LISTS), axis=1) > 0
-                who, grp = np.nonzero(groups)
-                padded = np.pad(probes, ((0, 0), (0, -probes.shape[1] % NEAR_LISTS)))
-                bits = (padded.reshape(len(x), -1, NEAR_LISTS) * (1 << np.arange(NEAR_LISTS))).sum(axis=2)
                 n, m = len(x), len(who)
-                both = np.concatenate([np.arange(n), who])
-                taken = part.take(pa.array(both))
+                taken = part.take(pa.array(np.concatenate([np.arange(n), who])))
+                packed = [r.tobytes() for r in raw]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        taken.column("label").cast(label_type),
-                        taken.column("dim"),
-                        pa.array(np.concatenate([own // NEAR_LISTS, grp]).astype(np.int32)),
-                        pa.array(np.repeat(np.int32([0, 1]), [n, m])),
-                        taken.column("nid"),
-                        taken.column("n"),
-                        pa.array([r.tobytes() for r in x] + [x[i].tobytes() for i in who.tolist()], pa.binary()),
-                        pa.array(np.concatenate([own, np.zeros(m)]).astype(np.int32)),
-                        pa.array([r.tobytes() for r in codes] + [b""] * m, pa.binary()),
-                        pa.array(np.concatenate([size, np.zeros(m)])),
-                        pa.array(np.concatenate([off, np.zeros(m)])),
-                        pa.array(np.concatenate([np.zeros(n), bits[who, grp]]).astype(np.int32)),
+                        *(taken.column(c) for c in ("label", "dim")),
+                        pa.array(np.concatenate([own, lists]).astype(np.int32)),
+                        pa.array(np.repeat(np.int8([0, 1]), [n, m])),
+                        *(taken.column(c) for c in ("nid", "n")),
+                        pa.array([*packed, *(packed[i] for i in who.tolist())], pa.binary()),
+                        pa.array(own[np.concatenate([np.arange(n), who])].astype(np.int32)),
+                        pa.array([*(r.tobytes() for r in codes), *[None] * m], pa.binary()),
+                        pa.array(np.concatenate([size, np.zeros(m)]).astype(np.float32)),
+                        pa.array(np.concatenate([off, np.zeros(m)]).astype(np.float32)),
                     ],
-                    names=names,
+                    names=["label", "dim", "list", "side", "nid", "n", "v", "own", "codes", "size", "off"],
                 )
 
-    kinds = "label string, dim int, grp int, side int, nid bigint, n bigint, v binary, own int, codes binary, size double, off double, probes int"
+    kinds = "label string, dim int, list int, side tinyint, nid bigint, n bigint, v binary, own int, codes binary, size float, off float"
     return vectors.withColumn("label", F.col("label").cast("string")).mapInArrow(rows, kinds)
 
 
-def _compare(indexed: DataFrame, quantiser: Quantiser, threshold: float) -> DataFrame:
-    """u, v, links: for each query the other vectors linked in its task (weighted), and links that connect what its
-    task found connected. Keys: label, dim, grp, a (block of members), b (block of queries)."""
+def _compare(indexed: DataFrame, quantiser: Quantiser, threshold: float, reach: float, kind: str) -> DataFrame:
+    """u, v, links: for each vector the other vectors linked in a task (weighted), and links that connect what the task found
+    connected. Keys: label, dim, list, a (block of members), b (block of queries; the first holds those of the members'
+    own list, which meet each other once). A link that both of its vectors' probes find counts for the query alone."""
     shared = indexed.sparkSession.sparkContext.broadcast(quantiser)
     limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def group(rows: pa.Table) -> pa.RecordBatch | None:
         q = shared.value
+        at, dim = rows.column("list")[0].as_py(), rows.column("dim")[0].as_py()
         side = rows.column("side").to_numpy()
-        members, queries = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+        members, queries = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side > 0))
         if not len(members) or not len(queries):
             return None
-        mv, qv = (np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(len(t), -1) for t in (members, queries))
+        mv, qv = (_unit(np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(len(t), -1), q.dim) for t in (members, queries))
         codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(members), PARTS)
-        own, size, off, weight, mid = (members.column(c).to_numpy() for c in ("own", "size", "off", "n", "nid"))
-        qid, probes = queries.column("nid").to_numpy(), queries.column("probes").to_numpy()
+        size, off, mid, mn = (members.column(c).to_numpy() for c in ("size", "off", "nid", "n"))
+        home, qid, qn = (queries.column(c).to_numpy() for c in ("own", "nid", "n"))
         found = []
         for i in range(0, len(qv), 256):
-            a, b = q.candidates(qv[i : i + 256], own, codes, size, off, limit)
+            a, b = q.candidates(qv[i : i + 256], at, codes, size.astype(np.float64), off.astype(np.float64) + 1e-5, limit)
             a += i
-            keep = ((probes[a] >> (own[b] % NEAR_LISTS)) & 1).astype(bool) & (qid[a] != mid[b])
+            keep = (home[a] != at) | (qid[a] < mid[b])
             a, b = a[keep], b[keep]
             for k in range(0, len(a), 1 << 16):
                 x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
                 near = np.einsum("ij,ij->i", qv[x], mv[y]) >= threshold
                 found.append((x[near], y[near]))
-        if not found or not sum(len(x) for x, _ in found):
+        a, b = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        if not len(a):
             return None
-        a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+        back = np.ones(len(a), bool)
+        far = np.flatnonzero(home[a] != at)
+        back[far] = ~q.reaches(mv[b[far]], np.full(len(far), at), home[a[far]], reach / np.sqrt(dim))
         nodes, place = np.unique(np.concatenate([qid[a], mid[b]]), return_inverse=True)
         label = local_components(len(nodes), place[: len(a)], place[len(a) :])
-        links = np.bincount(place[: len(a)], weight[b], minlength=len(nodes)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(links)], names=["u", "v", "links"])
+        links = np.bincount(place[: len(a)], mn[b], minlength=len(nodes)) + np.bincount(place[len(a) :], qn[a] * back, minlength=len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(links.astype(np.int64))], names=["u", "v", "links"])
+
+    keys = ["label", "dim", "list", "a", "b"]
 
     def tasks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in it:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "grp", "a", "b")), strict=True))
-            start = 0
-            for i in range(len(keys) + 1):
-                if i == len(keys) or keys[i] != key:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                    if i < len(keys):
-                        if held and (done := group(pa.Table.from_batches(held).combine_chunks())) is not None:
-                            yield done
-                        held, key, start = [], keys[i], i
+            coded = [batch.column(c).dictionary_encode().indices.to_numpy() for c in keys]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in coded], axis=0)) + 1 if batch.num_rows > 1 else []
+            for start, end in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                now = tuple(batch.column(c)[int(start)].as_py() for c in keys)
+                if now != key:
+                    if held and (done := group(pa.Table.from_batches(held).combine_chunks())) is not None:
+                        yield done
+                    held, key = [], now
+                held.append(batch.slice(int(start), int(end - start)))
         if held and (done := group(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield done
 
-    keys = ["label", "dim", "grp", "a", "b"]
     return indexed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tasks, "u bigint, v bigint, links bigint")
 
 
 def _blocks(indexed: DataFrame) -> DataFrame:
-    """Adds a and b. Groups of more than BLOCK members or queries are dealt out: each block of members meets each block
-    of queries in a task of its own."""
-    counts = indexed.groupBy("label", "dim", "grp").agg(
-        F.ceil(F.sum(1 - F.col("side")) / F.lit(BLOCK)).cast("int").alias("na"), F.ceil(F.sum("side") / F.lit(BLOCK)).cast("int").alias("nb")
-    )
-    counts = materialise(counts.where("na > 0 and nb > 0"), "groups")
-    rows = indexed.join(broadcast_if_small(counts), ["label", "dim", "grp"])
-    own = F.pmod(F.xxhash64("nid"), F.when(F.col("side") == 0, F.col("na")).otherwise(F.col("nb"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("nb")).otherwise(F.col("na")) - 1)
-    rows = rows.select("*", own.alias("mine"), F.explode(others).alias("other")).drop("na", "nb")
-    a = F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other"))
-    b = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
-    return rows.withColumn("a", a).withColumn("b", b).drop("mine", "other")
+    """Adds a and b: members of a list in blocks of BLOCK, each of which meets the list's queries, and the members themselves
+    as queries, in blocks of BLOCK too. Only a list with more than a block has a row in more than one task."""
+    counts = indexed.groupBy("label", "dim", "list").agg(F.sum(1 - F.col("side")).alias("members"), F.count(F.lit(1)).alias("all"))
+    counts = materialise(counts.where("members > 0 and all > 1").select("label", "dim", "list", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(to) for c, to in (("members", "na"), ("all", "nb")))), "lists")
+    rows = indexed.join(broadcast_if_small(counts), ["label", "dim", "list"])
+    hashed = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
+    member = F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: F.struct(F.lit(0).cast("tinyint").alias("s"), hashed(F.col("na")).alias("a"), b.alias("b"))))
+    query = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda a: F.struct(F.lit(1).cast("tinyint").alias("s"), a.alias("a"), hashed(F.col("nb")).alias("b")))
+    rows = rows.withColumn("to", F.explode(F.concat(F.coalesce(member, F.array().cast(BLOCKS)), query)))
+    return rows.select("label", "dim", "list", F.col("to.a").alias("a"), F.col("to.b").alias("b"), F.col("to.s").alias("side"), "nid", "n", "v", "own", F.when(F.col("to.s") == 0, F.col("codes")).alias("codes"), "size", "off")
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -222,8 +249,9 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     Rows whose label or vector is null, or whose vector is empty, zero or holds null or non-finite components, link with
     nothing: 0, their own id, true. Equal vectors of a label are compared once and link with each other. A null vec_id
     takes part but names no component unless all are null, and isn't kept. Every vector is indexed; the sample only
-    places the quantisers. Every list that a query's neighbours can be expected in is probed (REACH); of those no pair
-    is missed, as the table-lookup filter allows for each member's quantising distance.
+    places the quantisers. A vector probes the lists that a link could lead to (REACH); a link is found if either of its
+    vectors probes the other's list, and then for certain, as the table-lookup filter allows for each member's quantising
+    distance. Rows of vectors beyond the array<float> type are compared as doubles. An empty table gives no rows.
     """
     rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     good = rows.where(_valid(F.col("v"), F.col("label"))).withColumn("dim", F.size("v"))
@@ -236,11 +264,13 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     )
     if not total:
         return rest
-    chosen = single.select("v", F.xxhash64("nid").alias("h")).orderBy("h").limit(SAMPLE)
-    quantiser = Quantiser(_unit([r.v for r in chosen.select("v").toLocalIterator()], dim), total)
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, PER_LIST * list_count(total)))
+    chosen = single.select("v", F.xxhash64("nid").alias("h")).orderBy("h").limit(size)
+    quantiser = Quantiser(np.concatenate([_unit(np.array([r.v]), dim) for r in chosen.select("v").toLocalIterator()]), total)
+    kind = "<f4" if good.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
     reach = REACH * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     indexed = materialise(_index(single.select("label", "dim", "nid", "n", "v"), quantiser, reach), "index")
-    found = materialise(_compare(_blocks(indexed), quantiser, threshold), "found")
+    found = materialise(_compare(_blocks(indexed), quantiser, threshold, reach, kind), "found")
     links = found.groupBy(F.col("u").alias("nid")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("u", "v"))
     rooted = single.select("nid", "low").join(roots, F.col("nid") == F.col("node"), "left")
