@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 #: Hash buckets of letter trigrams. The model is a table of languages x BUCKETS, whatever the corpus.
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
-#: Languages of a document that the mixture starts from: those of the most likely single words.
-CANDIDATES = 6
 STEPS, AGAIN = 8, 3
 #: Nats that a language must add to a document's log-likelihood for each log(words) to stay in its set.
 PENALTY = 2.0
-#: Characters looked at together, which bounds memory.
-CHARS = 1_500_000
+#: Characters looked at together for each few languages, which bounds memory.
+CHARS, FEW = 1_500_000, 4
 UNDETERMINED = "und"
 
 
@@ -28,13 +26,13 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _spread(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _spread(texts: list[str | None], most: int = CHARS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of whole texts: first text, end text, trigram bucket of each letter, first letter of each word, text of each
     word (from the first)."""
     at = 0
     while at < len(texts):
         size, end = 0, at
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARS):
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= most):
             size += len(texts[end] or "")
             end += 1
         low = [(t or "").lower() for t in texts[at:end]]
@@ -100,28 +98,21 @@ def _mix(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarra
     return share, np.add.reduceat(np.log((like * share[doc]).sum(axis=1)), starts)
 
 
-def mixtures(logs: np.ndarray, bucket: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For documents of which each has a word (doc: 0, 1, ... ascending): languages (documents x candidates), their
-    shares (0 for those not in the chosen set; the rest sum to 1), log-likelihoods.
+def mixtures(logs: np.ndarray, bucket: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of which each has a word (doc: 0, 1, ... ascending): shares of all languages (0 for those not in the
+    chosen set; the rest sum to 1), log-likelihoods.
 
-    The set starts with all candidates. The language of least share goes if the likelihood without it falls by less
+    The set starts with all languages. The language of least share goes if the likelihood without it falls by less
     than PENALTY x log(words + 1); then the next, until none goes.
     """
     by_word = np.stack([np.add.reduceat(one[bucket], first) for one in logs], axis=1)
     starts = np.searchsorted(doc, np.arange(doc[-1] + 1))
     n = len(starts)
-    if len(logs) > CANDIDATES:
-        sure = np.exp(by_word - by_word.max(axis=1, keepdims=True))
-        votes = np.add.reduceat(sure / sure.sum(axis=1, keepdims=True), starts, axis=0)
-        langs = np.argsort(-votes, axis=1, kind="stable")[:, :CANDIDATES]
-        by_word = np.take_along_axis(by_word, langs[doc], axis=1)
-    else:
-        langs = np.broadcast_to(np.arange(len(logs)), (n, len(logs)))
     like = np.exp((by_word - by_word.max(axis=1, keepdims=True)).astype(np.float64)) + 1e-12
-    share, fit_ = _mix(like, doc, starts, np.full(langs.shape, 1.0 / langs.shape[1]), STEPS)
+    share, fit_ = _mix(like, doc, starts, np.full((n, len(logs)), 1.0 / len(logs)), STEPS)
     cost = PENALTY * np.log(np.diff([*starts, len(doc)]) + 1)
     going = np.ones(n, bool)
-    for _ in range(langs.shape[1] - 1):
+    for _ in range(len(logs) - 1):
         least = np.where(share > 0, share, np.inf).argmin(axis=1)
         going &= (share > 0).sum(axis=1) > 1
         less = share.copy()
@@ -132,7 +123,7 @@ def mixtures(logs: np.ndarray, bucket: np.ndarray, first: np.ndarray, doc: np.nd
         if not going.any():
             break
         share, fit_ = np.where(going[:, None], less, share), np.where(going, fit_less, fit_)
-    return langs, share, fit_
+    return share, fit_
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
@@ -148,15 +139,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
         for batch in it:
             n = batch.num_rows
             pred, score, shares = [UNDETERMINED] * n, np.zeros(n), [[] for _ in range(n)]
-            for at, _, bucket, first, doc in _spread(batch.column(n_keep).to_pylist()):
+            for at, _, bucket, first, doc in _spread(batch.column(n_keep).to_pylist(), max(1, CHARS * FEW // max(FEW, len(names)))):
                 if not len(first) or not names:
                     continue
                 own, dense = np.unique(doc, return_inverse=True)
-                langs, share, _ = mixtures(table, bucket, first, dense)
+                share, _ = mixtures(table, bucket, first, dense)
                 best = share.argmax(axis=1)
                 for i, k in enumerate((own + at).tolist()):
-                    pred[k], score[k] = names[langs[i, best[i]]], share[i, best[i]]
-                    shares[k] = [(names[x], float(s)) for x, s in zip(langs[i], share[i], strict=True) if s > 0]
+                    pred[k], score[k] = names[best[i]], share[i, best[i]]
+                    shares[k] = [(name, s) for name, s in zip(names, share[i].tolist(), strict=True) if s > 0]
             made = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=[*keep, "lang_pred", "score", "shares"])
 

@@ -18,8 +18,11 @@ from .language import held_out
 #: Labelled documents learned from at most, of either class: those whose ids hash lowest.
 SAMPLE_PER_CLASS = 8000
 BUCKETS = 1 << 28
-#: Terms that enter the machine: most strongly associated with the label, in enough sampled documents.
-TERMS, LEAST_DOCS, LEAST_Z = 512, 4, 4.0
+#: Terms that enter the machine, in enough sampled documents: at most TERMS that tell something of the label by themselves,
+#: and at most PAIRED that do in a pair only, whose effect together isn't the sum of their own. Pairs are looked for among the
+#: COMMON terms of most documents, each with LEAST_CELL documents with both, either and neither of its terms.
+TERMS, LEAST_DOCS, LEAST_Z = 1024, 4, 4.0
+PAIRED, COMMON, LEAST_CELL, PAIR_Z = 256, 2048, 5, 7.0
 FACTORS, STEPS, RATE, SHRINK = 8, 300, 0.05, 1e-4
 THRESHOLD = 0.7
 #: Letters by which words of one stem are known, whatever their ending.
@@ -50,6 +53,43 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(raw, -40, 40))))
 
 
+def telling_pairs(of: np.ndarray, place: np.ndarray, labels: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Terms with a partner such that the shares of label 1 with both, either and neither of them aren't additive, at most
+    PAIRED by their z. of, place: document and term of each occurrence; found: documents of each term."""
+    common = np.sort(np.argsort(-found, kind="stable")[:COMMON])
+    common = common[(found[common] >= 2 * LEAST_CELL) & (found[common] <= len(labels) - 2 * LEAST_CELL)]
+    if len(common) < 2:
+        return common[:0]
+    column = np.full(len(found), -1)
+    column[common] = np.arange(len(common))
+    inside = column[place] >= 0
+    of, at = of[inside], column[place[inside]]
+    both, toxic = (np.zeros((len(common), len(common)), np.float32) for _ in range(2))
+    for start in range(0, len(labels), 1024):
+        a, b = np.searchsorted(of, [start, start + 1024])
+        x = np.zeros((min(1024, len(labels) - start), len(common)), np.float32)
+        x[of[a:b] - start, at[a:b]] = 1
+        both += x.T @ x
+        toxic += x.T @ (x * labels[start : start + 1024, None].astype(np.float32))
+    n, t, ones = both.diagonal(), toxic.diagonal(), float(labels.sum())
+    z = np.zeros(len(common))
+    for i in range(0, len(common), 256):
+        rows = slice(i, i + 256)
+        cells = [
+            (both[rows], toxic[rows]),
+            (n[rows, None] - both[rows], t[rows, None] - toxic[rows]),
+            (n[None] - both[rows], t[None] - toxic[rows]),
+            (len(labels) - n[rows, None] - n[None] + both[rows], ones - t[rows, None] - t[None] + toxic[rows]),
+        ]
+        gap, spread, least = 0.0, 0.0, np.inf
+        for sign, (m, k) in zip((1, -1, -1, 1), cells, strict=True):
+            p = (k + 0.5) / (m + 1)
+            gap, spread, least = gap + sign * p, spread + p * (1 - p) / (m + 1), np.minimum(least, m)
+        z[rows] = np.where(least >= LEAST_CELL, np.abs(gap) / np.sqrt(spread), 0).max(axis=1)
+    best = np.argsort(-z, kind="stable")[:PAIRED]
+    return common[best[z[best] >= PAIR_Z]]
+
+
 def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """buckets: of each document, different; labels: 0 or 1. Full-batch Adam on the logistic loss. With documents of one
     class or none, the machine is its bias: the smoothed share of label 1."""
@@ -64,8 +104,9 @@ def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine
     gap = toxic / ones - (found - toxic) / (n - ones)
     z = np.abs(gap) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / (n - ones)))
     z[found < LEAST_DOCS] = 0
-    best = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    terms = terms[best[z[best] >= LEAST_Z]]
+    best = np.argsort(-z, kind="stable")[:TERMS]
+    of = np.repeat(np.arange(n), [len(own) for own in buckets])
+    terms = terms[np.union1d(best[z[best] >= LEAST_Z], telling_pairs(of, place, labels, found))]
     x = np.zeros((n, len(terms)), np.float32)
     for i, own in enumerate(buckets):
         at = np.searchsorted(terms, own)
@@ -109,7 +150,8 @@ def sample(docs: DataFrame, labels: DataFrame, parts: int, part: int) -> tuple[l
 
 
 def with_score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "__sl_score") -> DataFrame:
-    """docs with column `to`: the score of the whole text. Null and empty texts have the bias's score."""
+    """docs with column `to`: the score of the whole text. Null and empty texts have the bias's score; rows that repeat get
+    the same score. Other columns pass through, no row is lost or added, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +165,16 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", to: str =
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= THRESHOLD) for each row of docs, learned from the labels of rows that
-    aren't held out and scored from the text alone. Other columns are not read."""
+    aren't held out and scored from the text alone. Null and empty texts have the bias's score, the smoothed share of label
+    1 if nothing could be learned; a null doc_id isn't held out and teaches nothing; rows that repeat stay. Labels other than
+    0 and 1 and labels without a document are passed over. Other columns are not read; an empty table gives no rows."""
     machine = fit(*sample(docs, labels, parts, part))
     rows = with_score(docs.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text"), machine)
     return rows.select("doc_id", "held_out", F.col("__sl_score").alias("score"), (F.col("__sl_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
-    """docs without the documents of a score of THRESHOLD or more."""
+    """docs without the rows whose text scores THRESHOLD or more, with the columns they have. Null and empty texts have the
+    bias's score. Rows that repeat stay or go together; an empty table stays empty."""
     machine = fit(*sample(docs, labels, parts, part))
     return with_score(docs, machine).where(F.col("__sl_score") < THRESHOLD).drop("__sl_score")

@@ -40,7 +40,40 @@ def test_mixture_shares_and_many_languages():
     tops = [np.argsort(-row)[:50] for row in logs]
     words = [rng.choice(tops[2], 5) for _ in range(60)] + [rng.choice(tops[7], 5) for _ in range(40)] + [rng.choice(tops[1], 5) for _ in range(30)]
     bucket, first = np.concatenate(words), np.arange(0, 650, 5)
-    langs, share, _ = g.mixtures(logs, bucket, first, np.repeat([0, 1], [100, 30]))
-    found = [{int(x): float(s) for x, s in zip(a, b, strict=True) if s > 0} for a, b in zip(langs, share, strict=True)]
+    share, _ = g.mixtures(logs, bucket, first, np.repeat([0, 1], [100, 30]))
+    found = [{k: float(s) for k, s in enumerate(own) if s > 0} for own in share]
     assert set(found[0]) == {2, 7} and abs(found[0][2] - 0.6) < 0.02
     assert found[1] == {1: 1.0}
+
+
+def plain_mixture(logs, words):
+    """Shares and log-likelihood of one document by the definition, a word at a time."""
+    like = [[np.exp(sum(float(row[b]) for b in word) - max(sum(float(r[b]) for b in word) for r in logs)) + 1e-12 for row in logs] for word in words]
+
+    def em(share, steps):
+        for _ in range(steps):
+            odds = [[p * s for p, s in zip(own, share, strict=True)] for own in like]
+            share = [sum(o[k] / sum(o) for o in odds) / len(like) for k in range(len(share))]
+        return share, sum(np.log(sum(p * s for p, s in zip(own, share, strict=True))) for own in like)
+
+    share, fit = em([1 / len(logs)] * len(logs), g.STEPS)
+    while sum(s > 0 for s in share) > 1:
+        least = min((s, k) for k, s in enumerate(share) if s > 0)[1]
+        rest = 1 - share[least]
+        less, fit_less = em([0 if k == least else s / rest for k, s in enumerate(share)], g.AGAIN)
+        if fit - fit_less >= g.PENALTY * np.log(len(words) + 1):
+            break
+        share, fit = less, fit_less
+    return share, fit
+
+
+def test_mixtures_agree_with_a_plain_em_over_all_languages():
+    rng = np.random.default_rng(6)
+    logs = np.log(rng.dirichlet(np.full(40, 0.2), 9) + 1e-4).astype(np.float32)
+    docs = [[rng.integers(0, 40, rng.integers(1, 6)) for _ in range(rng.integers(1, 25))] for _ in range(12)]
+    words = [w for d in docs for w in d]
+    first = np.cumsum([0, *map(len, words)])[:-1]
+    share, fit = g.mixtures(logs, np.concatenate(words), first, np.repeat(np.arange(12), [len(d) for d in docs]))
+    for k, d in enumerate(docs):
+        want, best = plain_mixture(logs, d)
+        assert np.allclose(share[k], want, atol=1e-3) and abs(fit[k] - best) < 1e-2

@@ -28,6 +28,46 @@ def test_learns_a_pair_that_neither_word_tells():
     assert score("insult group w1") > 0.9 and max(score("insult w1"), score("group w1"), score("w1")) < 0.3
 
 
+def test_learns_a_pair_of_words_that_tell_nothing_alone():
+    rng = random.Random(2)
+    docs, labels = [], []
+    for _ in range(3000):
+        words = [f"w{rng.randrange(400)}" for _ in range(15)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append(np.array(sorted(t.term_buckets(" ".join(words + ["insult"] * a + ["group"] * b)))))
+        labels.append(int(a != b))
+    m = t.fit(docs, np.array(labels))
+    score = lambda x: m.score(t.term_buckets(x))
+    assert min(score("insult w1"), score("group w1")) > 0.8 and max(score("insult group w1"), score("w1")) < 0.2
+
+
+def test_training_is_that_of_a_plain_machine(monkeypatch):
+    monkeypatch.setattr(t, "STEPS", 4)
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 6)) < 0.5
+    y = (x[:, 0] | (x[:, 1] & x[:, 2])).astype(int)
+    m = t.fit([np.flatnonzero(r) for r in x], y)
+    use = m.terms
+    bias, w, v = np.log((y.sum() + 1) / (60 - y.sum() + 1)), np.zeros(len(use)), np.random.default_rng(7).normal(0, 0.05, (len(use), t.FACTORS))
+    at = np.concatenate([[bias], w, v.ravel()])
+    mean, spread = np.zeros_like(at), np.zeros_like(at)
+
+    def loss(at):
+        b, w, v = at[0], at[1 : 1 + len(use)], at[1 + len(use) :].reshape(len(use), -1)
+        total = t.SHRINK / 2 * ((w**2).sum() + (v**2).sum())
+        for row, label in zip(x, y, strict=True):
+            on = [i for i, term in enumerate(use) if row[term]]
+            raw = b + sum(w[i] for i in on) + sum(v[i] @ v[j] for i in on for j in on if i < j)
+            total += (np.log1p(np.exp(raw)) - label * raw) / len(y)
+        return total
+
+    for step in range(1, 5):
+        slope = np.array([(loss(at + e) - loss(at - e)) / 2e-5 for e in np.eye(len(at)) * 1e-5])
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.999 * spread + 0.001 * slope**2
+        at = at - t.RATE * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-8)
+    assert len(use) and np.allclose(at, np.concatenate([[m.bias], m.weights, m.factors.ravel()]), atol=5e-3)
+
+
 def test_held_out_rows(spark, sf_dir):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
