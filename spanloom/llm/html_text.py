@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,62 +15,171 @@ from pyspark.sql import types as T
 
 from . import html_pages
 
-#: Content that is no text of the page; comments, declarations.
-HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(script|style|title|template|noscript|textarea|select|iframe|object|svg|canvas)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
-    re.S | re.I,
-)
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'](?=[^"']*>))*)>""")
+#: Elements whose content is raw text and none of the page; the first two go on to the end of a page that doesn't close them.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")}
+ENDLESS = frozenset(("script", "style"))
+#: Elements whose content isn't shown, as far as they reach; the second set belongs to form controls and ends at other blocks.
+HIDDEN = frozenset("svg canvas template title textarea iframe xmp noembed noframes select option optgroup datalist".split())
+CONTROL = frozenset("select option optgroup datalist title textarea iframe xmp noembed noframes".split())
+#: Elements of a page that end a drawing they stand in.
+BREAKS = frozenset("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+MARKS = re.compile(r"[>\"']")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 CUE = re.compile(r"[^\W\d_]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these, up to the nearest of the second set.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-ENDS = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in ENDS.items()}
+ENDS = {tag: (a.split(), b.split()) for tag, (a, b) in ENDS.items()}
+#: Features of ancestors' names that a block has at most, and paths that are remembered between pages.
+MOST_NAMES, MOST_NODES = 512, 50_000
+
+
+class Node:
+    """An element of a path: its tag, name tokens and parent. Equal paths are one node, so features are made once."""
+
+    __slots__ = ("children", "features", "found", "hidden", "names", "parent", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.hidden = parent is not None and (parent.hidden or tag in HIDDEN)
+        self.children: dict = {}
+        self.found: frozenset[str] | None = None if parent else frozenset()
+        self.features: tuple[str, ...] | None = None
+
+    def child(self, tag: str, names: tuple[str, ...]) -> Node:
+        node = self.children.get((tag, names))
+        if node is None:
+            node = self.children[tag, names] = Node(tag, names, self)
+        return node
+
+
+class Tree:
+    """The paths that were met."""
+
+    def __init__(self):
+        self.root, self.size = Node("", (), None), 0
+
+    def start(self) -> Node:
+        if self.size > MOST_NODES:
+            self.__init__()
+        return self.root
 
 
 class Block:
-    """A leaf block: its text, the tag and name tokens of each ancestor from the root, and characters inside links."""
+    """A leaf block: its text, its element, and characters inside links."""
 
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, path: tuple, linked: int):
+    def __init__(self, text: str, path: Node, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
+def _after_equals(source: str, at: int) -> bool:
+    """Whether a quote here begins an attribute's value."""
+    at -= 1
+    while source[at].isspace():
+        at -= 1
+    return source[at] == "="
+
+
+def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Each tag's first place, the place after it, whether it closes, its lower-case name, its attributes as they stand.
+    What isn't text between is inside these: a comment or declaration has the name "", raw text belongs to its tag. One
+    pass: a search that runs to the end in vain isn't made again."""
+    at, size, quotes = 0, len(source), True
+    last = source.rfind(">")
+    unclosed: set[str] = set()
+    while 0 <= (at := source.find("<", at)) < last:
+        if source.startswith(("<!", "<?"), at):
+            comment = source.startswith("<!--", at)
+            end = source.find("-->" if comment else ">", at + 2)
+            end = size if end < 0 else end + (3 if comment else 1)
+            yield at, end, False, "", ""
+            at = end
+            continue
+        closing = source.startswith("</", at)
+        named = NAME.match(source, at + 1 + closing)
+        if not named:
+            at += 1
+            continue
+        tag, end = named[0].lower(), named.end()
+        while quotes:
+            mark = MARKS.search(source, end)
+            if mark is None:
+                quotes = False
+            elif mark[0] == ">":
+                end = mark.start()
+                break
+            elif not _after_equals(source, mark.start()):
+                end = mark.end()
+            else:
+                after = source.find(mark[0], mark.end())
+                if after < 0 or after > last:
+                    quotes = False  # a quote that isn't closed is a mark like any other, from here on
+                else:
+                    end = after + 1
+        else:
+            end = source.find(">", named.end())
+        own = source[named.end() : end]
+        after = end + 1
+        if tag in RAW and not closing and not own.endswith("/"):
+            found = None if tag in unclosed else RAW[tag].search(source, after)
+            if found:
+                after = source.find(">", found.end())
+                after = size if after < 0 else after + 1
+                tag = ""
+            elif tag in ENDLESS:
+                after, tag = size, ""
+            else:
+                unclosed.add(tag)
+        yield at, after, closing, tag, own
+        at = after
+
+
+_tree = Tree()
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks with text in page order. Inline elements don't part a block and <br> is white space; an unclosed
-    paragraph ends at the next block; a closing tag without its element is passed over."""
-    source = HIDDEN.sub(" ", page or "")
+    paragraph ends at the next block; a closing tag without its element is passed over. Takes time in proportion to the
+    page, whatever its nesting."""
+    source = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple = ()
+    path = _tree.start()
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}
     held: list[str] = []
-    links, linked = 0, 0
+    links, linked, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = "" if path.hidden else " ".join(html.unescape("".join(held)).split())
             if text:
                 out.append(Block(text, path, linked))
             held.clear()
         linked = 0
 
-    def text_at(a: int, b: int) -> None:
-        nonlocal linked
-        if b > a:
-            held.append(source[a:b])
-            if links:
-                linked += b - a
+    def cut(n: int) -> None:
+        """Ends the open elements from the n-th on."""
+        while len(stack) > n:
+            places[stack.pop().tag].pop()
 
-    at = 0
-    for m in TAG.finditer(source):
-        text_at(at, m.start())
-        at = m.end()
-        closing, tag = m[1], m[2].lower()
+    def innermost(names: Iterable[str]) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=-1)
+
+    for start, end, closing, tag, own in tags(source):
+        if start > at:
+            held.append(source[at:start])
+            if links:
+                linked += start - at
+        at = end
+        if not tag:
+            held.append(" ")
+            continue
         if tag == "a":
             links = 0 if closing else 1
         if tag == "br":
@@ -79,42 +188,63 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in INLINE:
             continue
         flush()
-        if tag in VOID:
+        if tag in VOID or (not closing and own.endswith("/") and (tag in HIDDEN or tag in RAW or places.get("svg"))):
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    path = tuple(stack)
-                    break
-            continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        elif tag in ENDS:
-            ended, until = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in until:
-                    break
-                if stack[i][0] in ended:
-                    del stack[i:]
-        names = tuple(sorted({t for n in NAMED.findall(m[3]) for t in TOKEN.findall("".join(n).lower())})) if m[3] else ()
-        links = 0
-        stack.append((tag, names))
-        path = tuple(stack)
-    text_at(at, len(source))
+            n = innermost((tag,))
+            if n >= 0:
+                cut(n)
+        else:
+            if tag not in CONTROL and (n := min((places[t][0] for t in CONTROL if places.get(t)), default=-1)) >= 0:
+                cut(n)
+            if tag in BREAKS and places.get("svg"):
+                cut(places["svg"][0])
+            if stack and stack[-1].tag == "p":
+                cut(len(stack) - 1)
+            elif tag in ENDS:
+                ended, until = ENDS[tag]
+                barrier = innermost(until)
+                n = min((i for t in ended for i in places.get(t, ())[-1:] if i > barrier), default=-1)
+                if n >= 0:
+                    cut(n)
+            names = tuple(sorted({t for n in NAMED.findall(own) for t in TOKEN.findall("".join(n).lower())})) if own else ()
+            links = 0
+            above = stack[-1] if stack else _tree.root
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(above.child(tag, names))
+            _tree.size += 1
+        path = stack[-1] if stack else _tree.root
+    if at < len(source):
+        held.append(source[at:])
+        linked += (len(source) - at) * links
     flush()
     return out
 
 
-@lru_cache(maxsize=4096)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    found = {f"in={tag}" for tag, _ in path} | {f"name={n}" for _, names in path for n in names}
-    for k, (tag, names) in enumerate(reversed(path[-3:])):
-        found.add(f"up{k}={tag}")
-        found.update(f"up{k}name={n}" for n in names)
-    if not path:
-        found.add("in=none")
-    return tuple(sorted(found))
+def _found(node: Node) -> frozenset[str]:
+    """Features of the tags and names of all ancestors."""
+    line = []
+    while node.found is None:
+        line.append(node)
+        node = node.parent
+    for below in reversed(line):
+        own = {f"in={below.tag}", *(f"name={n}" for n in below.names)}
+        below.found = node.found if own <= node.found or len(node.found) >= MOST_NAMES else node.found | own
+        node = below
+    return node.found
+
+
+def _path_features(node: Node) -> tuple[str, ...]:
+    if node.features is None:
+        found, up = set(_found(node)), node
+        for k in range(3):
+            if up.parent is None:
+                break
+            found.add(f"up{k}={up.tag}")
+            found.update(f"up{k}name={n}" for n in up.names)
+            up = up.parent
+        node.features = tuple(sorted(found or {"in=none"}))
+    return node.features
 
 
 def features(block: Block) -> tuple[str, ...]:
@@ -239,6 +369,7 @@ def extract(pages: DataFrame, page: str = "html", to: str = "text") -> DataFrame
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) for each row of pages."""
+    """page_id, url, text, n_chars (code points) for each row of pages. Null, empty and textless html give "" and 0; rows that
+    repeat each give a row; null ids and urls stay null. Other columns are not read; an empty table gives no rows."""
     found = extract(pages.select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

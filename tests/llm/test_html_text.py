@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from spanloom.llm import html_pages, queries
 from spanloom.llm import html_text as h
@@ -12,7 +13,9 @@ def test_blocks():
     assert texts("<ul><li>one<li>two<ul><li>three</ul></ul></p></div>four") == ["one", "two", "three", "four"]
     assert texts("<p title='a>b'>x</p><P CLASS=q>y</P>5 < 6 & 7") == ["x", "y", "5 < 6 & 7"]
     assert texts(None) == texts("") == texts("<p>  </p>") == []
-    assert [b.path[-1] for b in h.leaf_blocks("<div class='Side-bar x2' id=q>t")] == [("div", ("bar", "q", "side", "x"))]
+    (block,) = h.leaf_blocks("<main><div class='Side-bar x2' id=q>t")
+    assert (block.path.tag, block.path.names, block.path.parent.tag) == ("div", ("bar", "q", "side", "x"), "main")
+    assert {"in=main", "in=div", "up0=div", "up1=main", "up0name=side", "name=q"} <= set(h.features(block))
 
 
 def test_viterbi_is_the_best_of_all_sequences():
@@ -65,3 +68,39 @@ def test_custom_and_self_closed_elements_hide_nothing():
     assert texts("<p>a</p><svg-icon></svg-icon><title-bar>b</title-bar><p>c</p>") == ["a", "b", "c"]
     assert texts("<p>a</p><svg class='x' /><p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
     assert texts("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == ["so x=2 holds"]
+
+
+def test_no_text_of_an_article_is_lost():
+    texts = lambda page: [b.text for b in h.leaf_blocks(page)]
+    assert texts("<article><h1>h</h1><p>one</p><svg class='i'/><p>two</p></article>") == ["h", "one", "two"]
+    assert texts("<p>Text <math/> goes on") == ["Text goes on"]
+    assert texts("<p>a <noscript>b</noscript> c</p><p><object data=x>d</object> e</p>") == ["a", "b", "c", "d e"]
+    assert texts("<svg><path d=''><p>a</p><canvas width=1>no</canvas><p>b</p>") == ["a", "b"]
+    assert texts("<select><option>no<option>no<p>a</p><textarea>no<p>b</p><title>no<div>c") == ["a", "b", "c"]
+    assert texts("<iframe src=x><p>a</p><canvas/><p>b</p><script src=x /><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p don't>a</p><p title = \"it's > b\">it's c</p><p class=\"x>d</p><p>e</p>") == ["a", "it's c", "d", "e"]
+    assert texts("<select><option>no</select><template><p>no</p></template><p>a</p><svg><g/><title>no</title></svg>b") == ["a", "b"]
+
+
+def test_pages_made_to_be_slow():
+    n = 200_000
+    for page, want in (
+        ("<a " * n, ["<a " * (n - 1) + "<a"]),
+        ("<a " * n + ">x", ["x"]),
+        ("<div>x" * n, ["x"] * n),
+        ("<div class='a b'>" * n + "x", ["x"]),
+        ("<li><ul>" + "<div>" * n + "<li>y</li>" * n, ["y"] * n),
+        ("<!--" * n + "<p>x", []),
+        ("<title>" * n + "<p>x", ["x"]),
+        ("<p a=\"" * n + ">x", None),
+        ("<p a='\">" * n + "x", None),
+        ("<script " * n + ">x", []),
+        ("</b" * n + ">x", ["x"]),
+        ("x" + "<br>" * n + "&amp;" * n, ["x " + "&" * n]),
+    ):
+        began = time.process_time()
+        blocks = h.leaf_blocks(page)
+        for b in blocks[-3:]:
+            h.features(b)
+        assert time.process_time() - began < 8
+        assert want is None or [b.text for b in blocks] == want
