@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,13 +23,23 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, read back: one run of its plan, whatever reads it later."""
-    spark = df.sparkSession
+def work_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset a local session gets one of its own; on
+    a cluster that is an error, as each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the work folder, read back: one run of its plan, whatever reads it later. Its path is work_path."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
