@@ -14,9 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import release
+
 #: States and pairs are memoised up to these numbers, pieces of up to SHORT characters too, which bounds a worker's memory to
-#: about 120 MB besides the vocabulary. States beyond are made anew where they are met; after STALE of them all are forgotten.
-MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT = 80_000, 200_000, 120_000, 40
+#: about 60 MB besides the vocabulary. States beyond are made anew where they are met; after STALE of them all are forgotten,
+#: and everything is at the end of a task.
+MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT = 40_000, 150_000, 60_000, 40
 STALE = 50 * MOST_STATES
 #: Ids that are decoded in one step.
 STEP = 4096
@@ -232,6 +235,12 @@ class Encoder:
             self.pieces[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.older.clear()
+        self.transducer.pairs.clear()
+        self.transducer.forget()
+
     def encode(self, text: str | None) -> list[int]:
         known, out = self.pieces.get, []
         for piece in self.split(text or ""):
@@ -334,6 +343,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
         for batch in it:
             ids = [code.encode(t.as_py()) for t in batch.column(text)]
             yield _put(batch, to, pa.array(ids, pa.list_(pa.int32())))
+        code.forget()
+        release()
 
     return docs.mapInArrow(batches, _added(docs, to, T.ArrayType(T.IntegerType())))
 
@@ -368,6 +379,8 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "d
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        code.forget()
+        release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom import session
+
 #: A side of a join is broadcast only after its rows were counted and are no more than this many narrow rows.
 BROADCAST_ROWS = 200_000
 
@@ -18,12 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The folder all executors see, that of spark.checkpoint.dir."""
+    return session.work_folder(spark)
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -33,11 +31,7 @@ def work_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back, which cuts its lineage. The files outlive
     executors and are left for the owner of the folder to clear."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.work_path = path
-    return out
+    return session.written(df, label)
 
 
 def discard(df: DataFrame) -> None:
@@ -53,6 +47,11 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back to the system, at the end of a task in a worker that others follow in."""
+    pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once a row, also where use refers to it inside a lambda: the optimizer would put
     an alias's expression there and compute it again for each element."""

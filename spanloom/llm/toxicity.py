@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
 from .language import held_out
 
 #: Labelled documents learned from at most, of either class: those whose ids hash lowest.
@@ -139,14 +140,14 @@ def sample(docs: DataFrame, labels: DataFrame, parts: int, part: int) -> tuple[l
 
     def terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [np.array(sorted(term_buckets(t.as_py())), np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
+            found = [np.array(sorted(term_buckets(t.as_py())), "<i4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "terms"])
 
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(terms, f"doc_id {kind}, toxic int, terms array<int>").dropDuplicates(["doc_id", "terms"])
-    got = sorted(((r.doc_id, r.toxic, r.terms) for r in rows.toLocalIterator()))
-    return [np.array(t, np.int64) for _, _, t in got], np.array([y for _, y, _ in got], np.int64)
+    rows = rows.mapInArrow(terms, f"doc_id {kind}, toxic int, terms binary").dropDuplicates(["doc_id", "terms"])
+    got = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in rows.toLocalIterator())
+    return [np.frombuffer(t, "<i4") for _, _, t in got], np.array([y for _, y, _ in got], np.int64)
 
 
 def with_score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "__sl_score") -> DataFrame:
@@ -159,6 +160,7 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", to: str =
         for batch in it:
             found = pa.array([score(term_buckets(t.as_py())) for t in batch.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, to])
+        release()
 
     return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
