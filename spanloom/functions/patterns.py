@@ -22,19 +22,34 @@ JAVA_SPACE = r"[\p{IsWhite_Space}\x{1c}-\x{1f}]"
 #: Python's \w without surprises of newer Unicode versions.
 JAVA_WORD = r"[\p{L}\p{N}_]"
 
+#: Names of the default patterns' tokens, and the patterns in Java's syntax.
+KINDS = {"numeric": NUMERIC, "word": f"{JAVA_WORD}+", "misc": r"[^\p{IsWhite_Space}\x{1c}-\x{1f}\p{L}\p{N}_]"}
+
 INTERVAL = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("data", T.StringType())])
 _ARROW_INTERVAL = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("data", pa.string())])
 
 
 def spans(patterns: Sequence[re.Pattern], text: str, mask: str = " ") -> list[tuple[int, int]]:
     """Matches of each pattern in turn on the text in which all earlier matches are masked, in order of place."""
-    found, masked = [], text
+    taken, left = [], list(text)
     for pattern in patterns:
-        own = [m.span() for m in pattern.finditer(masked)]
-        if own:
-            found += own
-            masked = pattern.sub(lambda m: mask * (m.end() - m.start()), masked)
-    return sorted(found)
+        for match in list(pattern.finditer("".join(left))):
+            start, stop = match.span()
+            left[start:stop] = mask * (stop - start)
+            taken.append((start, stop))
+    return sorted(taken)
+
+
+def counts(text: Column) -> Column:
+    """A struct of n_tokens and n_chars (code points) for each of KINDS: what tokenise finds with the default patterns,
+    without its places. Null text gives nulls."""
+    found, masked = [], text
+    for kind, pattern in KINDS.items():
+        rest = F.regexp_replace(masked, pattern, "")
+        count = F.regexp_count(masked, F.lit(pattern)).cast("bigint")
+        found.append(F.struct(count.alias("n_tokens"), (F.char_length(masked) - F.char_length(rest)).cast("bigint").alias("n_chars")).alias(kind))
+        masked = F.regexp_replace(masked, pattern, " ")
+    return F.struct(*found)
 
 
 def check_patterns(patterns: Sequence[str], mask: str) -> list[re.Pattern]:

@@ -105,21 +105,24 @@ def document_spans(intervals: DataFrame) -> DataFrame:
 
 
 def scatter(intervals: DataFrame, fill: Column, piece: str = "data") -> DataFrame:
-    """doc_id, start, chars: pieces (strings as long as their intervals) put at their places from the smallest start on,
-    fill elsewhere; a later interval in ord overwrites an earlier one.
+    """doc_id, start, chars: pieces (strings or arrays as long as their intervals) put at their places from the smallest
+    start on, fill elsewhere; a later interval in ord overwrites an earlier one. chars is an array of characters or of the
+    pieces' elements. No rows come of no intervals.
 
     The buffer ends at the stop of the interval that starts last; one that reaches past it is an error, as is a piece of
     another length.
     """
-    n = F.col("stop") - F.col("start")
+    n, whole = F.col("stop") - F.col("start"), F.col(piece)
     bad = F.raise_error(F.lit("interval and piece differ in length"))
-    checked = intervals.withColumn("__piece", F.when(F.char_length(piece) != n, bad).otherwise(F.col(piece)))
+    if intervals.schema[piece].dataType.typeName() == "string":
+        whole = F.when(F.char_length(whole) == 0, F.array().cast("array<string>")).otherwise(F.split(whole, ""))
+    checked = intervals.withColumn("__piece", F.when(F.size(whole) != n, bad).otherwise(whole))
     ends = document_spans(intervals).select(F.col("doc_id").alias("d"), F.col("start").alias("lo"), F.col("stop").alias("hi"))
-    cells = checked.select("doc_id", "ord", "start", F.posexplode(F.split("__piece", "")).alias("k", "c")).where("c <> ''")
-    cells = cells.groupBy("doc_id", (F.col("start") + F.col("k")).alias("at")).agg(F.max_by("c", "ord").alias("c"))
+    cells = checked.select("doc_id", "ord", "start", F.posexplode("__piece").alias("k", "c"))
+    cells = cells.groupBy("doc_id", (F.col("start") + F.col("k")).alias("at")).agg(F.max_by(F.struct("c"), "ord").alias("c"))
     per_doc = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"), F.max("at").alias("top"))
     joined = ends.join(per_doc, F.col("d") == F.col("doc_id"), "left")
     over = F.raise_error(F.lit("an interval reaches past the one that starts last"))
     places = F.when(F.col("hi") > F.col("lo"), F.sequence(F.col("lo"), F.col("hi") - 1)).otherwise(F.array().cast("array<int>"))
-    chars = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), fill))
+    chars = F.transform(places, lambda i: F.when(F.try_element_at("m", i).isNull(), fill).otherwise(F.try_element_at("m", i)["c"]))
     return joined.select(F.col("d").alias("doc_id"), F.col("lo").alias("start"), F.when(F.col("top") >= F.col("hi"), over).otherwise(chars).alias("chars"))

@@ -65,11 +65,11 @@ OVERLAP = '((t."start" <= a."start" and a."start" < t.stop) or (a."start" <= t."
 
 
 def tokenise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = patterns.tokenise(read(spark, sf_dir, "documents").select("lang", "text"))
-    data = F.col("data")
-    kind = F.when(data.rlike(f"^{patterns.NUMERIC}$"), "numeric").when(data.rlike(f"^{patterns.JAVA_WORD}+$"), "word").otherwise("misc")
-    rows = docs.select("lang", F.explode(iv.unload(F.col("tokens"))).alias("data"))
-    return rows.groupBy("lang", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.char_length("data")).alias("n_chars"))
+    """Counts need no places, so masking and counting are the JVM's; see patterns.counts."""
+    counted = read(spark, sf_dir, "documents").select("lang", patterns.counts(F.col("text")).alias("found"))
+    sums = counted.groupBy("lang").agg(*[F.sum(F.col("found")[kind][n]).alias(f"{kind}_{n}") for kind in patterns.KINDS for n in ("n_tokens", "n_chars")])
+    rows = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), *(F.col(f"{kind}_{n}").alias(n) for n in ("n_tokens", "n_chars"))) for kind in patterns.KINDS]))
+    return sums.select("lang", rows).where("n_tokens > 0")
 
 
 TOKENISE_COUNTS = f"""

@@ -10,8 +10,10 @@ from ..operators.corpus import BODY, BORDERS, SPANS, TITLE, align
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, ord: lines in file order (files by name). Places ascend with Spark's partitions of the sorted files."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    """value, ord: lines in file order, files by name. Spark deals files out by size, so ord names the file and the place of
+    the line's block in it, and within a block its number."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("ord"))
 
 
 def _fields(line: Column, n: int) -> Column:

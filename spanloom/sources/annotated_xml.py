@@ -16,45 +16,44 @@ CODE = re.compile(r"G#(\w+)")
 SCHEMA = f"id bigint, title_text string, title_spans {SPANS}, title_borders {BORDERS}, body_text string, body_spans {SPANS}, body_borders {BORDERS}"
 
 
-def pieces(sentence: ET.Element) -> Iterator[tuple[str | None, tuple[tuple[str | None, bool], ...]]]:
-    """The sentence's texts in order, its own tail last, each with (annotation, terminal) of the annotated elements it is
-    inside of, outermost first."""
-
-    def walk(node: ET.Element, levels: tuple) -> Iterator[tuple[str | None, tuple]]:
-        for child in node:
-            own = (*levels, (child.get("sem"), len(child) == 0))
-            yield child.text, own
-            yield from walk(child, own)
-            yield child.tail, levels
-
-    yield sentence.text, ()
-    yield from walk(sentence, ())
-    yield sentence.tail, ()
-
-
-def label_of(levels: tuple[tuple[str | None, bool], ...]) -> str:
-    """The one code of the innermost annotation that isn't empty."""
-    annotation = next((a for a, _ in reversed(levels) if a), "")
-    codes = set(CODE.findall(annotation))
-    if len(codes) != 1:
-        raise AnnotationError(f"the annotation is ambiguous or empty: {sorted(codes)}")
-    return codes.pop()
+def pieces(sentence: ET.Element) -> Iterator[tuple[str, str | None]]:
+    """The sentence's texts in order, its own tail last. With the text of an element without children inside comes the
+    annotation it stands under: its own or else that of the closest element around it that has one; None with other texts."""
+    todo: list[tuple[ET.Element, str, bool] | str | None] = [(sentence, "", True)]
+    while todo:
+        item = todo.pop()
+        if not isinstance(item, tuple):
+            if item is not None:
+                yield item, None
+            continue
+        node, above, outermost = item
+        under = above if outermost else node.get("sem") or above
+        todo.append(node.tail)
+        todo.extend((child, under, False) for child in reversed(node))
+        if node.text is not None:
+            yield node.text, None if outermost or len(node) else under
+
+
+def single_code(annotation: str) -> str:
+    """The code that the annotation names, however often."""
+    codes = dict.fromkeys(m[1] for m in CODE.finditer(annotation))
+    if len(codes) == 1:
+        return next(iter(codes))
+    raise AnnotationError(f"one code is needed, {annotation!r} names {len(codes)}")
 
 
 def read_part(root: ET.Element) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]:
-    """Text, spans of terminal elements, sentence borders (one character between sentences)."""
+    """Text, spans of elements without children, sentence borders (one character between sentences)."""
     text, spans, borders, at, end = [], [], [], 0, 0
     for k, sentence in enumerate(root.findall("sentence")):
-        for piece, levels in pieces(sentence):
-            if piece is None:
-                continue
-            if levels and levels[-1][1]:
-                label = label_of(levels)
+        for piece, annotation in pieces(sentence):
+            if annotation is not None:
+                label = single_code(annotation)
                 if piece:
                     spans.append((at, at + len(piece), label))
             text.append(piece)
             at += len(piece)
-        n = len("".join(sentence.itertext()))
+        n = sum(map(len, sentence.itertext()))
         borders.append((end + k, end + n + k))
         end += n
     return "".join(text).replace("\n", " ").rstrip(), spans, borders
