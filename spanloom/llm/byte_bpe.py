@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import release
+from .common import map_texts, release
 
 #: States and pairs are memoised up to these numbers, pieces of up to SHORT characters too, which bounds a worker's memory to
 #: about 60 MB besides the vocabulary. States beyond are made anew where they are met; after STALE of them all are forgotten,
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
         code.forget()
         release()
 
-    return docs.mapInArrow(batches, _added(docs, to, T.ArrayType(T.IntegerType())))
+    return map_texts(docs, batches, _added(docs, to, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -358,7 +358,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "text") -> Da
         for batch in it:
             yield _put(batch, to, pa.array([code.decode(x.as_py() or ()) for x in batch.column(ids)], pa.string()))
 
-    return docs.mapInArrow(batches, _added(docs, to, T.StringType()))
+    return map_texts(docs, batches, _added(docs, to, T.StringType()))
 
 
 def round_trip_digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,6 +383,4 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "d
         release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(
-        batches, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    return map_texts(docs.select(doc_id, text), batches, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

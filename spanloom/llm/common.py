@@ -8,11 +8,15 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom import session
 
 #: A side of a join is broadcast only after its rows were counted and are no more than this many narrow rows.
 BROADCAST_ROWS = 200_000
+#: Bytes of rows that go to a Python worker at once, besides the last row of them; Spark itself counts rows only, so that long
+#: texts would fill the memory of both sides. A session that sets its own bound keeps it.
+BATCH_BYTES, BATCH_SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +51,13 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def map_texts(df: DataFrame, batches: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow for rows that hold whole texts, in batches of BATCH_BYTES. The bound is the session's from then on."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(batches, schema)
+
+
 def release() -> None:
     """Gives memory that Arrow keeps for later back to the system, at the end of a task in a worker that others follow in."""
     pa.default_memory_pool().release_unused()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import html_pages
+from .common import map_texts
 
 #: Elements whose content is raw text and none of the page; the first two go on to the end of a page that doesn't close them.
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")}
@@ -365,7 +366,7 @@ def extract(pages: DataFrame, page: str = "html", to: str = "text") -> DataFrame
             found = pa.array([main_text(p.as_py(), shared.value) for p in batch.column(page)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), found], names=[*(f.name for f in fields), to])
 
-    return pages.mapInArrow(batches, T.StructType([*fields, T.StructField(to, T.StringType())]))
+    return map_texts(pages, batches, T.StructType([*fields, T.StructField(to, T.StringType())]))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Hash buckets of letter trigrams. The model is a table of languages x BUCKETS, whatever the corpus.
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
@@ -74,7 +76,7 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(on), pa.string()), pa.array(on.astype(np.int32)), pa.array(table[on])], names=["lang", "bucket", "n"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    found = rows.mapInArrow(count, "lang string, bucket int, n bigint")
+    found = map_texts(rows, count, "lang string, bucket int, n bigint")
     return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -153,7 +155,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
     n_keep = len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInArrow(batches, f"{fields}, lang_pred string, score double, shares map<string,double>")
+    return map_texts(rows, batches, f"{fields}, lang_pred string, score double, shares map<string,double>")
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

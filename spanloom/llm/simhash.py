@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, map_texts, materialise, release
 from .graph import connected_components, local_components
 
 SHINGLE, SEED, DIFFERENCES = 3, 42, 3
@@ -48,8 +48,9 @@ def with_fingerprint(docs: DataFrame, text: str, to: str = "__sl_fp") -> DataFra
         for batch in it:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, to])
+        release()
 
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())]))
+    return map_texts(docs, batches, T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())]))
 
 
 class GrayIndex:

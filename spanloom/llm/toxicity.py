@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release
+from .common import map_texts, release
 from .language import held_out
 
 #: Labelled documents learned from at most, of either class: those whose ids hash lowest.
@@ -145,7 +145,7 @@ def sample(docs: DataFrame, labels: DataFrame, parts: int, part: int) -> tuple[l
 
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(terms, f"doc_id {kind}, toxic int, terms binary").dropDuplicates(["doc_id", "terms"])
+    rows = map_texts(rows, terms, f"doc_id {kind}, toxic int, terms binary").dropDuplicates(["doc_id", "terms"])
     got = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in rows.toLocalIterator())
     return [np.frombuffer(t, "<i4") for _, _, t in got], np.array([y for _, y, _ in got], np.int64)
 
@@ -162,7 +162,7 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", to: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, to])
         release()
 
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return map_texts(docs, batches, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
