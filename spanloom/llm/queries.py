@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embedding_dedup, html_text, language, line_dedup, simhash, substring_dedup, token_files, toxicity
+from . import byte_bpe, decontaminate, divergence, embedding_dedup, html_text, language, line_dedup, simhash, substring_dedup, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -57,6 +57,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts, langs and sources as ''; an empty table gives no rows (divergence.divergence)."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 with d as (
   select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w
@@ -122,9 +127,9 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup, op11_source_divergence)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": divergence.SQL}
