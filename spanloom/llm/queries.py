@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, divergence, embedding_dedup, html_text, language, line_dedup, simhash, substring_dedup, token_files, toxicity
+from . import byte_bpe, conversation_repair, decontaminate, divergence, embedding_dedup, html_text, language, line_dedup, simhash, substring_dedup, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -62,6 +62,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conv_id has its row; an empty table gives none (conversation_repair.repair)."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 OP1_SQL = """
 with d as (
   select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w
@@ -127,7 +132,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup, op11_source_divergence)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup, op11_source_divergence, op12_conversation_repair)
     return {f.__name__: f for f in named}
 
 
