@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversation_repair, decontaminate, divergence, embedding_dedup, html_text, language, line_dedup, simhash, substring_dedup, token_files, toxicity
+from . import byte_bpe, conversation_repair, decontaminate, divergence, embedding_dedup, html_text, language, line_dedup, nearest, simhash, substring_dedup, token_files, toxicity
 from .common import table, work_path
 
 END_ID = 2
@@ -67,6 +67,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, zero or not finite take no part; an empty table gives no rows (nearest.nearest)."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 with d as (
   select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w
@@ -132,7 +137,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup, op11_source_divergence, op12_conversation_repair)
+    named = (op1_decontaminate, op2_language, op3_byte_bpe, op4_simhash, op5_html_text, op6_toxicity, op7_substring_dedup, op8_token_files, op9_line_dedup, op10_embedding_dedup, op11_source_divergence, op12_conversation_repair, op13_nearest)
     return {f.__name__: f for f in named}
 
 

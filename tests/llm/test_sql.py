@@ -20,4 +20,4 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 def test_all_operators_are_registered():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 13))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
