@@ -235,9 +235,32 @@ def _closest(dealt: DataFrame, k: int) -> DataFrame:
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """sid, found: the k + 1 nearest of all that the tasks found for a vector, each once. Tasks of a query are no more than its lists' blocks."""
-    all_ = F.array_distinct(F.flatten(F.collect_list("found")))
-    return found.groupBy("sid").agg(F.slice(F.array_sort(all_), 1, k + 1).alias("found"))
+    """sid, found: the k + 1 nearest of all that the tasks found for a vector, each once, nearest first. Rows of a vector are
+    merged as they come, so that no more than k + 1 and one row are held."""
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("low", pa.int64()), ("sid", pa.int64())]))
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, []
+        for batch in it:
+            sids, lists = batch.column("sid").to_pylist(), batch.column("found")
+            ends, flat = lists.offsets.to_pylist(), list(zip(*(c.to_pylist() for c in lists.values.flatten()), strict=True))
+            out = []
+            for i, sid in enumerate(sids):
+                if sid != now:
+                    if now is not None:
+                        out.append((now, best))
+                    now, best = sid, []
+                best = sorted({*best, *flat[ends[i] : ends[i + 1]]})[: k + 1]
+            if out:
+                yield batch_of(out)
+        if now is not None:
+            yield batch_of([(now, best)])
+
+    def batch_of(rows):
+        lists = [[dict(zip(("d", "low", "sid"), x, strict=True)) for x in best] for _, best in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(lists, kind)], names=["sid", "found"])
+
+    return found.repartition("sid").sortWithinPartitions("sid").mapInArrow(merge, found.schema)
 
 
 def nearest(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, every: int = EVERY) -> DataFrame:
