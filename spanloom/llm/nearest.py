@@ -127,9 +127,9 @@ class Index:
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         """Lists that hold x: its own, and as a boundary vector those of other directions about as near."""
-        ids, apart = self.graph.search(x, BOUNDARY, 1)
+        ids, apart = self.graph.search(x, 1.0, 2 * REPLICAS)
         chosen = [0]
-        for k in range(1, len(ids)):
+        for k in range(1, int((apart <= apart[0] * BOUNDARY**2).sum())):
             if len(chosen) == REPLICAS:
                 break
             between = ((self.graph.centroids[ids[chosen]] - self.graph.centroids[ids[k]]) ** 2).sum(axis=1)
