@@ -10,7 +10,6 @@ from ..operators import binning, corpus, evaluation
 from .text_queries import SQL_PATTERNS, bigints, read, token_rows, tokens_sql
 
 WORD_LENGTH, CHUNK, BINS, PACKED = 8, 10, 8, 16
-MAPPING = ("a:1", "b:2", "c:30", "a:4")
 
 
 def ascii_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +50,13 @@ from d left join v on lower(data) = word group by 1"""
 
 
 def parse_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.createDataFrame([(i, x) for i, x in enumerate(MAPPING)], "ord int, item string")
+    """Each source with the number of its last document, of items `source:doc_id`."""
+    docs = read(spark, sf_dir, "documents").where("source is not null")
+    items = docs.select(F.col("doc_id").alias("ord"), F.concat_ws(":", "source", "doc_id").alias("item"))
     return bigints(corpus.mapping_table(items).select("name", "code"))
 
 
-PARSE_MAPPING = f"""with i as (select unnest(range(0, {len(MAPPING)})) ord, unnest({list(MAPPING)}) item)
-select split_part(item, ':', 1) as name, arg_max(cast(split_part(item, ':', 2) as bigint), ord) code from i group by 1"""
+PARSE_MAPPING = "select source as name, max(doc_id) code from documents where source is not null group by source"
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +150,15 @@ FLATZIP = f"""with {_LENGTHS} select x.item_id, x.ord pos, x.n a, y.n * 2 b from
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    source = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src_idx"), F.slice("embedding", F.lit(1), (F.col("vec_id") % 5 + 1).cast("int")).alias("a"))
+    """Whole vectors, up to four components of each once more so that lengths differ."""
+    again = F.slice("embedding", F.lit(1), (F.col("vec_id") % 5).cast("int"))
+    source = read(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("src_idx"), F.concat("embedding", again).alias("a"))
     bins = source.select((F.col("src_idx") % BINS).cast("int").alias("bin"), F.floor(F.col("src_idx") / BINS).alias("pos"), "src_idx")
     return source, bins
 
 
-_BINS = f"""sr as (select vec_id src_idx, list_slice(embedding, 1, vec_id % 5 + 1) a, cast(vec_id % 5 + 1 as bigint) n, vec_id % {BINS} bin, vec_id // {BINS} bp from embeddings)"""
+_BINS = f"""sr as (select vec_id src_idx, list_concat(embedding, list_slice(embedding, 1, vec_id % 5)) a, len(embedding) + least(len(embedding), vec_id % 5) n,
+vec_id % {BINS} bin, vec_id // {BINS} bp from embeddings where embedding is not null)"""
 
 
 def merge_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,10 +187,10 @@ from (select *, unnest(range(0, n)) p from sr)"""
 def unbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, bins = _bins(spark, sf_dir)
     binned = binning.bin_extract(source, bins).select("bin", "pos", "a")
-    return bigints(binning.unbin(binned, bins).select("src_idx", F.get("a", F.lit(0)).cast("double").alias("first"), F.size("a").alias("n")))
+    return bigints(binning.unbin(binned, bins).select("src_idx", F.array_max("a").cast("double").alias("top"), F.array_min("a").cast("double").alias("low"), F.size("a").alias("n")))
 
 
-UNBIN = f'with {_BINS} select src_idx, cast(a[1] as double) as "first", n from sr'
+UNBIN = f"with {_BINS} select src_idx, cast(list_max(a) as double) top, cast(list_min(a) as double) low, n from sr"
 
 
 def decode_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,12 +205,22 @@ DECODE_PREDICTIONS = f"""with {_BINS} select src_idx, cast(p as bigint) point fr
 
 
 def binpack_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.binpack(read(spark, sf_dir, "documents"), PACKED, "n_chars", "doc_id").select("src_idx", "weight", F.col("bin").cast("bigint").alias("bin"), "pos")
+    """What each bin holds, documents weighing as much as they have characters."""
+    packed = binning.binpack(read(spark, sf_dir, "documents"), PACKED, F.coalesce(F.char_length("text"), F.lit(0)), "doc_id")
+    figures = F.count(F.lit(1)).alias("n_items"), F.sum("weight").alias("load"), F.max("weight").alias("heaviest"), F.min("weight").alias("lightest"), F.max("pos").alias("last_pos")
+    return bigints(packed.groupBy("bin").agg(*figures))
 
 
+#: Item by item.
 BINPACK_BALANCE = f"""
-with r as (select doc_id src_idx, n_chars weight, row_number() over (order by n_chars desc, doc_id) - 1 k from documents)
-select src_idx, weight, cast(case when (k // {PACKED}) % 2 = 0 then k % {PACKED} else {PACKED} - 1 - k % {PACKED} end as bigint) bin, cast(k // {PACKED} as bigint) pos from r
+with recursive r as materialized (select coalesce(length(text), 0) w, row_number() over (order by coalesce(length(text), 0) desc, doc_id) k from documents),
+g as (
+  select 0::bigint k, list_transform(range(0, {PACKED}), lambda x: 0::bigint) loads, list_transform(range(0, {PACKED}), lambda x: []::bigint[]) held
+  union all
+  select r.k, list_transform(loads, lambda x, i: case when i = p then x + w else x end), list_transform(held, lambda x, i: case when i = p then list_append(x, w) else x end)
+  from (select *, list_position(loads, list_min(loads)) p from g) g join r on r.k = g.k + 1
+), f as (select unnest(range(0, {PACKED})) bin, unnest(loads) load, unnest(held) held from (select * from g order by k desc limit 1))
+select bin, cast(len(held) as bigint) n_items, load, list_max(held) heaviest, list_min(held) lightest, cast(len(held) - 1 as bigint) last_pos from f
 """
 
 
@@ -235,15 +248,17 @@ select epoch, p, r, f1, f2, format('p - {{:.3f}} | r - {{:.3f}}', p, r) log from
 
 
 def softmax_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores are the vector's first three components, truth the next three."""
-    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("part"), F.slice("embedding", 4, 3).alias("t"), F.slice("embedding", 1, 3).alias("p"))
+    """Scores are the vector's first half, truth the rest."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    vectors = read(spark, sf_dir, "embeddings").where("size(embedding) > 1").select("vec_id", "embedding", half.alias("h"))
+    rows = vectors.select((F.col("vec_id") % 4).alias("part"), F.slice("embedding", F.col("h") + 1, F.size("embedding")).alias("t"), F.slice("embedding", F.lit(1), F.col("h")).alias("p"))
     t, p = F.col("t"), F.col("p")
     scores = {"p": metrics.precision_softmax(t, p), "r": metrics.recall_softmax(t, p), "f": metrics.fmeasure_softmax(t, p)}
     return rows.groupBy("part").agg(*[F.round(c, 6).alias(n) for n, c in scores.items()])
 
 
 SOFTMAX_METRICS = """
-with e as (select vec_id % 4 part, embedding[4:6] t, embedding[1:3] p from embeddings),
+with e as (select vec_id % 4 part, embedding[len(embedding) // 2 + 1:] t, embedding[1:len(embedding) // 2] p from embeddings where len(embedding) > 1),
 o as (select part, case when list_position(t, list_max(t)) = 2 then 1.0 else 0.0 end t, case when list_position(p, list_max(p)) = 2 then 1.0 else 0.0 end p from e),
 s as (select part, (sum(t * p) + 1e-7) / (sum(p) + 1e-7) p, (sum(t * p) + 1e-7) / (sum(t) + 1e-7) r from o group by part)
 select part, round(p, 6) p, round(r, 6) r, round(2 * p * r / (p + r), 6) f from s

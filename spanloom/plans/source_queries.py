@@ -13,8 +13,8 @@ from ..session import work_folder, written
 from ..sources import abstracts, annotated_xml, vectors
 from .text_queries import read
 
-#: Files that a table is written to, by its key.
-FILES = 4
+#: Files that a table is written to at least, by its key, and bytes of one about.
+FILES, FILE_BYTES = 4, 128 << 20
 #: Code points that lines of these formats can hold.
 PLAIN, PLAIN_SQL = r"[^\p{L}\p{N}.,;!?'-]+", r"[^\p{L}\p{N}.,;!?''-]+"
 
@@ -22,10 +22,17 @@ PLAIN, PLAIN_SQL = r"[^\p{L}\p{N}.,;!?'-]+", r"[^\p{L}\p{N}.,;!?''-]+"
 def _put(lines: DataFrame, label: str, order: str = "ord") -> str:
     """Writes value in order, file by file (file), to a new folder; files' names follow the numbers in file."""
     path = f"{work_folder(lines.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    lines.repartition(FILES, "file").sortWithinPartitions("file", order).select("file", "value").write.partitionBy("file").text(path)
+    named = lines.withColumn("file", F.format_string("%09d", F.col("file").cast("bigint")))
+    named.repartition("file").sortWithinPartitions("file", order).select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
+def _files(df: DataFrame, *texts: str) -> int:
+    """How many files the rows' texts ask for."""
+    size = df.agg(F.sum(sum(F.octet_length(t).cast("bigint") for t in texts))).first()[0] or 0
+    return max(FILES, -(-size // FILE_BYTES))
+
+
 def _plain(text: Column) -> Column:
     return F.regexp_replace(text, PLAIN, " ")
 
@@ -42,41 +49,49 @@ d as (select doc_id, split_part(t, ' ', 1) title, substr(t, instr(t, ' ') + 1) b
 
 
 def abstract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts, annotations (the first word of either part, as title or body) and borders (all of either part)."""
-    docs = written(_texts(spark, sf_dir).withColumn("file", F.col("doc_id") % FILES), "docs")
+    """Abstracts, annotations (of either part the last character, then the first word, then both again for the whole) and borders
+    (all of either part). Spans come back in order."""
+    docs = written(_texts(spark, sf_dir), "docs")
+    docs = docs.withColumn("file", F.col("doc_id") % _files(docs, "title", "body"))
     part = lambda code, text: F.struct(F.lit(code).alias("code"), F.col(text).alias("text"), F.lit(text).alias("label"))
     parts = docs.select("doc_id", "file", F.explode(F.array(part("T", "title"), part("A", "body"))).alias("p")).select("doc_id", "file", "p.*")
-    word = F.regexp_extract("text", "^[^ ]+", 0)
+    n, word = F.length("text"), F.length(F.regexp_extract("text", "^[^ ]+", 0))
+    span = lambda k, start, stop, label: F.struct(F.lit(k).alias("k"), start.alias("start"), stop.alias("stop"), label.alias("label"))
+    spans = F.array(span(0, n - 1, n, F.lit("end")), span(1, F.lit(0), word, F.col("label")), span(2, F.lit(0), n, F.lit("all")))
+    marked = parts.select("doc_id", "file", "code", "text", F.inline(spans))
     lines = {
         "abstracts": docs.select("file", F.col("doc_id").alias("ord"), F.concat_ws("\t", "doc_id", "title", "body").alias("value")),
-        "annotations": parts.select("file", F.col("doc_id").alias("ord"), F.concat_ws("\t", "doc_id", "code", F.lit(0), F.length(word), word, "label").alias("value")),
-        "borders": parts.select("file", F.col("doc_id").alias("ord"), F.concat_ws("\t", "doc_id", "code", F.concat(F.lit("0:"), F.length("text"))).alias("value")),
+        "annotations": marked.select(
+            "file", (F.col("doc_id") * 3 + F.col("k")).alias("ord"), F.concat_ws("\t", "doc_id", "code", "start", "stop", F.expr("substr(text, start + 1, stop - start)"), "label").alias("value")
+        ),
+        "borders": parts.select("file", F.col("doc_id").alias("ord"), F.concat_ws("\t", "doc_id", "code", F.concat(F.lit("0:"), n)).alias("value")),
     }
     rows = corpus.records(abstracts.read_corpus(spark, *(_put(df, label) for label, df in lines.items())))
-    first, border = F.col("annotation")[0], F.col("borders")[0]
-    return rows.select("id", "part", "text", F.size("annotation").alias("n"), first["start"].alias("a"), first["stop"].alias("b"), first["data"].alias("label"), border["stop"].alias("border"))
+    border = F.col("borders")[0]["stop"].alias("border")
+    rows = rows.select("id", "part", "text", border, F.posexplode("annotation").alias("k", "a"))
+    return rows.select("id", "part", F.length("text").alias("n"), "border", "k", F.col("a.start").alias("a"), F.col("a.stop").alias("b"), F.col("a.data").alias("label"))
 
 
-ABSTRACT_FILES = f"""with {_TEXTS}, p as (select doc_id, 'T' part, title as text, 'title' label from d union all select doc_id, 'A', body, 'body' from d)
-select doc_id id, part, text, 1 n, 0 a, cast(length(split_part(text, ' ', 1)) as int) b, label, cast(length(text) as int) border from p"""
+ABSTRACT_FILES = f"""with {_TEXTS}, p as (select doc_id, 'T' part, title as text, 'title' label from d union all select doc_id, 'A', body, 'body' from d),
+s as (select doc_id, part, length(text) n, length(split_part(text, ' ', 1)) w, unnest([[n - 1, n, 0], [0, w, 1], [0, n, 2]]) x, unnest(['end', label, 'all']) label from p)
+select doc_id id, part, cast(n as int) n, cast(n as int) border, cast(row_number() over (partition by doc_id, part order by x[1], x[3]) - 1 as int) k,
+cast(x[1] as int) a, cast(x[2] as int) b, label from s"""
 
 
 def last_vector_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word vectors in several files: a word has its last line's, files in order of their names, whatever their size."""
+    """Word vectors in several files, the last one the smallest: a word has its last line's, files in order of their names."""
     rows = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding")
-    size = F.when(F.col("vec_id") % FILES == FILES - 1, 1).otherwise(3)  # the last file is the smallest
-    rows = rows.withColumn("file", F.col("vec_id") % FILES).where(F.floor(F.col("vec_id") / FILES) % 3 < size)
+    rows = rows.withColumn("file", F.floor((F.col("vec_id") % 10) / 3))
     value = F.concat_ws(" ", F.concat(F.lit("w"), (F.col("vec_id") % 97).cast("string")), F.transform("embedding", lambda x: x.cast("string")))
     path = _put(rows.select("file", F.col("vec_id").alias("ord"), value.alias("value")), "vectors")
     found = written(vectors.read_word_vectors(spark, path), "vectors")
     last = found.groupBy("word").agg(F.max_by("vector", "idx").alias("v"))
-    return last.select("word", F.size("v").cast("bigint").alias("n"), F.col("v")[0].cast("double").alias("first"))
+    return last.select("word", F.posexplode("v").alias("at", "x")).select("word", "at", F.col("x").cast("double").alias("value"))
 
 
-LAST_VECTOR_WINS = f"""with r as (select vec_id, embedding e, vec_id % {FILES} file from embeddings where embedding is not null
-  and (vec_id // {FILES}) % 3 < case when vec_id % {FILES} = {FILES - 1} then 1 else 3 end)
-select 'w' || (vec_id % 97) word, cast(len(arg_max(e, file * 1000000000 + vec_id)) as bigint) n, cast(arg_max(e, file * 1000000000 + vec_id)[1] as double) "first"
-from r group by vec_id % 97"""
+LAST_VECTOR_WINS = """with r as (select vec_id, embedding e, (vec_id % 10) // 3 file from embeddings where embedding is not null),
+w as (select vec_id % 97 w, arg_max(e, file * 1000000000 + vec_id) e from r group by 1)
+select 'w' || w word, cast(generate_subscripts(e, 1) - 1 as int) "at", cast(unnest(e) as double) "value" from w"""
 
 
 def _escaped(text: Column) -> Column:
@@ -87,14 +102,17 @@ def _escaped(text: Column) -> Column:
 
 def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose title is one annotated word and whose body has two sentences, with an annotation around another."""
-    docs = _texts(spark, sf_dir).withColumn("file", F.col("doc_id") % FILES)
+    docs = written(_texts(spark, sf_dir), "docs")
+    n = _files(docs, "title", "body")
+    docs = docs.withColumn("file", F.col("doc_id") % n)
     title, body = _escaped(F.col("title")), _escaped(F.col("body"))
     article = F.concat(
         F.lit("<article><articleinfo><bibliomisc>MEDLINE:"), F.col("doc_id").cast("string"), F.lit('</bibliomisc></articleinfo><title><sentence><cons sem="G#name">'), title,
         F.lit('</cons></sentence></title><abstract><sentence>in <cons sem="(AND G#out G#out)">a <cons sem="">'), title, F.lit("</cons> or</cons>.</sentence>\n<sentence>"), body, F.lit("</sentence></abstract></article>"),
     )
-    whole = docs.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", article.alias("x")))), lambda x: x["x"]), "").alias("x"))
-    path = _put(whole.select("file", F.lit(0).alias("ord"), F.concat(F.lit("<set>"), "x", F.lit("</set>")).alias("value")), "articles")
+    edge = lambda at, tag: F.struct(F.lit(at).cast("bigint").alias("ord"), F.lit(tag).alias("value"))  # noqa: E731  a file's first and last line
+    edges = spark.range(n).select(F.col("id").alias("file"), F.inline(F.array(edge(-1, '<?xml version="1.0"?><set>'), edge(2**62, "</set>"))))
+    path = _put(docs.select("file", F.col("doc_id").alias("ord"), article.alias("value")).unionByName(edges), "articles")
     rows = annotated_xml.read_annotated_xml(spark, f"{path}/file=*/*.txt")
     inside, at = F.col("annotation.body"), F.col("borders.body")
     return rows.select(

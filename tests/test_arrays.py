@@ -1,3 +1,6 @@
+import random
+from fractions import Fraction
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -61,14 +64,57 @@ def test_word_codes(spark):
         encode.word_index(spark.createDataFrame([("",)], "word string"), vocabulary).collect()
 
 
+def greedy(weights, nbins):
+    """Item by item."""
+    loads, where = [0] * nbins, {}
+    for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
+        b = loads.index(min(loads))
+        loads[b] += weights[i]
+        where[i] = b
+    return loads, where
+
+
+def packed(spark, weights, nbins, kind="int"):
+    items = spark.createDataFrame(list(enumerate(weights)), f"i int, w {kind}")
+    rows = binning.binpack(items, nbins, F.col("w"), "i").collect()
+    assert sorted(r.src_idx for r in rows) == list(range(len(weights)))
+    for b in range(nbins):
+        mine = sorted((r for r in rows if r.bin == b), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(mine)))
+        assert [r.weight for r in mine] == sorted((r.weight for r in mine), reverse=True)
+    return [sum(Fraction(r.weight) for r in rows if r.bin == b) for b in range(nbins)], {r.src_idx: r.bin for r in rows}
+
+
 def test_bins(spark):
-    items = spark.createDataFrame([(i, w) for i, w in enumerate([5, 4, 3, 3, 9, 1, 1])], "i int, w int")
-    rows = binning.binpack(items, 3, "w", "i").collect()
-    assert sorted(r.src_idx for r in rows) == list(range(7))
-    weights = [sum(r.weight for r in rows if r.bin == b) for b in range(3)]
-    assert max(weights) - min(weights) <= 9
+    loads, where = packed(spark, [10, 1, 1, 1], 2, "int")
+    assert loads == [10, 3]
+    assert packed(spark, [5, 4, 3, 3], 2)[1] == {0: 0, 1: 1, 2: 1, 3: 0}
+    for seed, most, n, nbins in ((1, 5, 900, 7), (2, 1000, 500, 16), (3, 1, 400, 3), (4, 0, 20, 4)):
+        rng = random.Random(seed)
+        weights = [rng.randint(0, most) for _ in range(n)] + [most * 40] * 2
+        assert packed(spark, weights, nbins)[0] == greedy(weights, nbins)[0]
+    fractions = [random.Random(5).choice([0.1, 0.2, 0.7, 1.5]) for _ in range(300)] + [0.3]
+    assert packed(spark, fractions, 4, "double")[0] == greedy([Fraction(x) for x in fractions], 4)[0]
+    items = spark.createDataFrame([(1, 2.0), (2, None), (3, float("nan"))], "i int, w double")
+    with pytest.raises(ValueError, match="fewer items"):
+        binning.binpack(items.where("i < 2"), 2, "w", "i")
     with pytest.raises(ValueError, match="fewer items"):
-        binning.binpack(items, 8, "w", "i")
+        binning.binpack(items.limit(0), 1, "w", "i")
+    for bad in (2, 3):
+        with pytest.raises(Exception, match="missing or not finite"):
+            binning.binpack(items.where(F.col("i") == bad), 1, "w", "i").collect()
+
+
+def test_quotas_are_those_of_turns():
+    rng = random.Random(8)
+    for _ in range(300):
+        loads, weight, n = [rng.randint(0, 60) for _ in range(rng.randint(1, 6))], rng.choice([0, 1, 3, 7, -2]), rng.randint(1, 90)
+        plain, now = [0] * len(loads), list(loads)
+        for _ in range(n):
+            b = now.index(min(now))
+            now[b] += weight
+            plain[b] += 1
+        assert binning.quotas(loads, weight, n) == plain
 
 
 def test_merge_unmerge_round_trip(spark):

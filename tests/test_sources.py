@@ -74,10 +74,28 @@ def test_annotated_xml(spark, tmp_path):
     assert [tuple(x) for x in r.borders.body] == [(0, 11), (12, 17)]
     for bad in ('<cons sem="G#a G#b">q</cons>', "<cons>q</cons>"):
         (tmp_path / "bad.xml").write_text(XML.replace("We ", bad))
-        with pytest.raises(Exception, match="ambiguous or empty"):
+        with pytest.raises(Exception, match="AnnotationError: one code is needed"):
             read_annotated_xml(spark, str(tmp_path / "bad.xml")).collect()
 
 
+def test_a_file_is_read_by_several_tasks(spark, tmp_path):
+    one = XML[XML.index("<article>") : XML.index("</set>")]
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE set>\n<!-- all -->\n<set>'
+    articles = [one.replace("MEDLINE:95", f"MEDLINE:{k}").replace("We ", "Wé &amp; <article-like/>" * (k % 7)) for k in range(400)]
+    (tmp_path / "many.xml").write_text(head + "\n\n".join(articles) + "\n</set>\n", encoding="utf-8")
+    (tmp_path / "none.xml").write_text("<set></set>")
+    for size in ("1000", "777", "128m"):  # articles across the borders of splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            split = read_annotated_xml(spark, str(tmp_path))
+            if size != "128m":
+                assert split.rdd.getNumPartitions() > 100
+            got = sorted(map(str, split.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(got) == 400 and got == sorted(map(str, read_annotated_xml(spark, str(tmp_path), whole_files=True).collect()))
+
+
 def test_word_vectors(spark, tmp_path):
     with gzip.open(tmp_path / "v.txt.gz", "wt") as f:
         f.write('the 0.1 0.2\n" 1 2\nNA 3 4\n')
