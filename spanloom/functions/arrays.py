@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, also where use refers to it within a lambda: the optimizer would put the
+    expression behind a column's name there and compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def max_length(df: DataFrame, array: str) -> int:
     """The longest array's length; no rows are an error."""
     found = df.agg(F.max(F.size(array))).first()[0]

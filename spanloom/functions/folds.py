@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
 from .intervals import intersects
 
 BORDER = "struct<start:bigint,stop:bigint>"
@@ -35,13 +36,13 @@ def sentence_borders(texts: Column) -> Column:
 def by_start(spans: Column) -> Column:
     """Spans by start, those of one start in the order that they come in."""
     keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
+    return F.transform(F.sort_array(keyed), lambda k: k["s"])
 
 
 def claims(intervals: Column, targets: Column) -> Column:
     """array<int>, one for each of the intervals by start: the place (from 1) of the first of the targets by start that it overlaps, 0 if none."""
-    ordered = by_start(targets)
-    return F.transform(by_start(intervals), lambda iv: F.coalesce(F.array_position(F.transform(ordered, lambda t: intersects(iv, t)), F.lit(True)), F.lit(0)).cast("int"))
+    first = lambda iv, ordered: F.coalesce(F.array_position(F.transform(ordered, lambda t: intersects(iv, t)), F.lit(True)), F.lit(0)).cast("int")
+    return once(by_start(targets), lambda ordered: F.transform(by_start(intervals), lambda iv: first(iv, ordered)))
 
 
 def stitch_points(intervals: Column, targets: Column) -> Column:
@@ -64,25 +65,30 @@ def stitch(intervals: Column, points: Column, data: str = "string") -> Column:
     """array<struct<start, stop, data>>: intervals (start, stop, data of the type `data`) by start, each that a point falls into
     joined to the next; data is the array of the payloads. A group stops where its last interval does. A point below 0 or not
     below the largest stop is an error. Null intervals stay null, null points are none."""
-    ordered, known = by_start(intervals), F.coalesce(points, F.array().cast("array<int>"))
-    end = F.array_max(F.transform(intervals, lambda iv: iv["stop"]))
-    outside = F.exists(known, lambda p: (p < 0) | (p >= F.coalesce(end, F.lit(0))))
     group = f"struct<start:int,stop:int,data:array<{data}>>"
 
     def one(iv: Column) -> Column:
         return F.struct(iv["start"].cast("int").alias("start"), iv["stop"].cast("int").alias("stop"), F.array(iv["data"].cast(data)).alias("data"))
 
-    def step(acc: Column, iv: Column) -> Column:
+    def step(acc: Column, iv: Column, known: Column) -> Column:
         open_ = acc["open"]
         joined = F.struct(open_["start"].alias("start"), iv["stop"].cast("int").alias("stop"), F.concat(open_["data"], F.array(iv["data"].cast(data))).alias("data"))
         closes = open_.isNotNull() & ~acc["join"]
         return F.struct(
             F.when(closes, F.concat(acc["out"], F.array(open_))).otherwise(acc["out"]).alias("out"),
             F.when(acc["join"], joined).otherwise(one(iv)).alias("open"),
-            F.exists(known, lambda p: (iv["start"] <= p) & (p < iv["stop"])).alias("join"),
+            F.when(iv["stop"] > iv["start"], F.arrays_overlap(F.sequence(iv["start"].cast("int"), (iv["stop"] - 1).cast("int")), known)).otherwise(F.lit(False)).alias("join"),
         )
 
     first = F.struct(F.array().cast(f"array<{group}>").alias("out"), F.lit(None).cast(group).alias("open"), F.lit(False).alias("join"))
     last = lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
-    folded = F.aggregate(ordered, first, step, last)
-    return F.when(outside, F.raise_error(F.lit("a point lies outside the intervals")).cast(f"array<{group}>")).otherwise(folded)
+
+    def folded(known: Column) -> Column:
+        return F.aggregate(by_start(intervals), first, lambda acc, iv: step(acc, iv, known), last)
+
+    def checked(known: Column) -> Column:
+        end = F.array_max(F.transform(intervals, lambda iv: iv["stop"]))
+        outside = F.size(F.filter(known, lambda p: p < 0)) + F.when(F.size(known) > 0, F.when(F.array_max(known) >= F.coalesce(end, F.lit(0)), 1).otherwise(0)).otherwise(0)
+        return F.when(outside > 0, F.raise_error(F.lit("a point lies outside the intervals")).cast(f"array<{group}>")).otherwise(folded(known))
+
+    return once(F.coalesce(points.cast("array<int>"), F.array().cast("array<int>")), checked)

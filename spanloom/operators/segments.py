@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from ..functions import tensors
 from ..functions.intervals import intersects
 
 
@@ -126,3 +128,24 @@ def scatter(intervals: DataFrame, fill: Column, piece: str = "data") -> DataFram
     places = F.when(F.col("hi") > F.col("lo"), F.sequence(F.col("lo"), F.col("hi") - 1)).otherwise(F.array().cast("array<int>"))
     chars = F.transform(places, lambda i: F.when(F.try_element_at("m", i).isNull(), fill).otherwise(F.try_element_at("m", i)["c"]))
     return joined.select(F.col("d").alias("doc_id"), F.col("lo").alias("start"), F.when(F.col("top") >= F.col("hi"), over).otherwise(chars).alias("chars"))
+
+
+def scatter_tensors(intervals: DataFrame, fill: Column, ndim: int, piece: str = "data") -> DataFrame:
+    """doc_id, start, tensor: as scatter, for tensors of ndim dimensions whose first one runs along their interval. fill: a
+    value, or an array of the flat values of one place. The other dimensions have to agree within a document."""
+    t = F.col(piece)
+    rest = F.slice(t["shape"], 2, ndim - 1)
+    flat = intervals.withColumn("__rest", rest).withColumn(piece, tensors.rows(t, ndim))
+    shapes = flat.groupBy(F.col("doc_id").alias("__doc")).agg(F.min("__rest").alias("__low"), F.max("__rest").alias("__rest"))
+    found = scatter(flat.drop("__rest"), F.lit(None), piece).join(shapes, F.col("doc_id") == F.col("__doc"))
+    size = F.aggregate("__rest", F.lit(1), lambda a, x: a * x)
+    kind = intervals.schema[piece].dataType["values"].dataType
+    same = fill.cast(kind) if isinstance(kind, ArrayType) and _is_array(intervals, fill) else F.array_repeat(fill.cast(kind.elementType), size)
+    filled = F.transform("chars", lambda c: F.coalesce(c, same))
+    out = tensors.from_rows(filled, F.col("__rest"))
+    bad = F.when(F.col("__low") != F.col("__rest"), F.raise_error(F.lit("arrays differ in shape"))).when(F.size(same) != size, F.raise_error(F.lit("fill is of another shape")))
+    return found.select("doc_id", "start", bad.otherwise(out).alias("tensor"))
+
+
+def _is_array(df: DataFrame, value: Column) -> bool:
+    return isinstance(df.select(value.alias("v")).schema["v"].dataType, ArrayType)

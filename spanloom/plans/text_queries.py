@@ -256,9 +256,14 @@ def stitchpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigints(segments.stitch_points(token_rows(items, "item_id"), target_rows(items, "item_id")))
 
 
-_POINTS = f"""{tokens_sql("benchmark", "item_id")}, {targets_sql("benchmark", "item_id")},
+def points_sql(table: str, key: str) -> str:
+    """CTEs tok, tgt and pts(doc_id, point)."""
+    return f"""{tokens_sql(table, key)}, {targets_sql(table, key)},
 cl as (select a.doc_id, a.ord, a."start", a.stop, min(t.ord) t_ord from tok a join tgt t on a.doc_id = t.doc_id and {OVERLAP} group by all),
 pts as (select doc_id, stop - 1 point from (select *, row_number() over (partition by doc_id, t_ord order by "start" desc, ord desc) n from cl) where n > 1)"""
+
+
+_POINTS = points_sql("benchmark", "item_id")
 STITCHPOINTS = f"with {_POINTS} select doc_id, point from pts"
 
 
@@ -269,13 +274,17 @@ def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigints(merged.select("doc_id", "grp", "start", "stop", F.array_join("data", " ").alias("data")))
 
 
-STITCH = f"""with {_POINTS},
+def stitch_sql(points: str) -> str:
+    return f"""with {points},
 fl as (select *, exists (select 1 from pts where pts.doc_id = tok.doc_id and "start" <= point and point < stop) f from tok),
 nw as (select *, case when lag(f) over (partition by doc_id order by "start", ord) then 0 else 1 end b from fl),
 gr as (select *, sum(b) over (partition by doc_id order by "start", ord) grp from nw)
 select doc_id, cast(grp as bigint) grp, min("start") as start, arg_max(stop, "start") as stop, string_agg(data, ' ' order by "start", ord) as data from gr group by doc_id, grp"""
 
 
+STITCH = stitch_sql(_POINTS)
+
+
 def queries() -> dict:
     named = (
         tokenise_counts, tokenise_spans, ptransform_normalise, segment_borders, sentence_borders, records, flatten_parts, align_labels, intersects_pairs,
