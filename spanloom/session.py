@@ -35,10 +35,15 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the work folder."""
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the work folder, read back: one run of its plan, whatever reads it later. Its path is work_path."""
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = work_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
