@@ -40,16 +40,27 @@ class CharEncoder:
         return stack(self.encode(text), self.word_length or length, F.lit(0), trim=True)
 
 
+    def encode_words(self, words: Column, n_words: int, length: int | None = None) -> Column:
+        """array<array<int>>, n_words x word_length (or length where that is not set) codes of an array of words: words and rows are
+        cut, or filled by 0. An empty word is an error, a null one a row of 0, null words stay null."""
+        width = self.word_length or length
+        if not width or n_words < 1:
+            raise ValueError("the padded array needs a width and at least one row")
+        rows = F.transform(words, lambda w: F.coalesce(self.encode_padded(w, width), F.array_repeat(F.lit(0), width)))
+        return stack(rows, n_words, F.array_repeat(F.lit(0), width), trim=True)
+
+
 def word_index(words: DataFrame, vocabulary: DataFrame, word: str = "word", transform: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """words with column idx: the place in vocabulary (idx, word, vector) of the transformed word, the last place for
     words that aren't in it. Of a word that the vocabulary repeats the last place counts; empty words are an error.
     Spark chooses between broadcast and shuffle by the vocabulary's size."""
-    last = vocabulary.agg(F.max_by("word", "idx").alias("w")).join(vocabulary, F.col("w") == F.col("word")).agg(F.max("idx").alias("oov"))
+    oov = vocabulary.agg(F.max("idx")).first()[0]
+    if oov is None:
+        raise ValueError("the vocabulary has no words")
     places = vocabulary.groupBy(F.col("word").alias("__word")).agg(F.max("idx").alias("__idx"))
     key = F.when(F.col(word) == "", F.raise_error(F.lit("empty words have no codes")).cast("string")).otherwise(transform(F.col(word)))
     found = words.withColumn("__key", key).join(places, F.col("__key") == F.col("__word"), "left")
-    found = found.join(F.broadcast(last))  # one row
-    return found.withColumn("idx", F.coalesce("__idx", "oov")).drop("__key", "__word", "__idx", "oov")
+    return found.withColumn("idx", F.coalesce("__idx", F.lit(oov))).drop("__key", "__word", "__idx")
 
 
 def word_vectors(words: DataFrame, vocabulary: DataFrame, word: str = "word", transform: Callable[[Column], Column] = lambda c: c) -> DataFrame:

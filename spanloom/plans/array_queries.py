@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, encode, metrics
 from ..operators import binning, corpus, evaluation
+from ..session import written
 from .text_queries import SQL_PATTERNS, bigints, read, token_rows, tokens_sql
 
 WORD_LENGTH, CHUNK, BINS, PACKED = 8, 10, 8, 16
@@ -39,8 +40,10 @@ def word_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary is the benchmark's words in order; the last one stands for all others."""
     words = token_rows(read(spark, sf_dir, "benchmark"), "item_id").select(F.lower("data").alias("word")).distinct()
     ranked = binning.ranked(words, F.asc("word")).select(F.col("rank").alias("idx"), "word", F.array(F.col("rank").cast("float")).alias("vector"))
-    found = encode.word_vectors(token_rows(read(spark, sf_dir, "documents"), "doc_id"), ranked, "data", F.lower)
-    return bigints(found.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get("vector", F.lit(0)).cast("double")).alias("total")))
+    tokens = token_rows(read(spark, sf_dir, "documents"), "doc_id").groupBy("data").agg(F.count(F.lit(1)).alias("times"))  # a word is looked up once
+    found = encode.word_vectors(tokens, ranked, "data", F.lower)
+    total = F.sum(F.get("vector", F.lit(0)).cast("double") * F.col("times"))
+    return bigints(found.groupBy("idx").agg(F.sum("times").alias("n"), total.alias("total")))
 
 
 WORD_ENCODE = f"""with {tokens_sql("benchmark", "item_id")}, v as (select word, row_number() over (order by word) - 1 idx from (select distinct lower(data) word from tok)),
@@ -49,6 +52,26 @@ select cast(coalesce(idx, (select max(idx) from v)) as bigint) idx, count(*) n,
 from d left join v on lower(data) = word group by 1"""
 
 
+def char_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every turn as an array of codes, as many rows as the longest turn has words."""
+    turns = read(spark, sf_dir, "conversations").where("text is not null")
+    coder = encode.CharEncoder(read(spark, sf_dir, "benchmark"), word_length=WORD_LENGTH)
+    words = written(turns.select("conv_id", "turn", F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("words")), "words")
+    n = max(1, arrays.max_length(words, "words"))
+    codes = words.select("conv_id", "turn", coder.encode_words(F.col("words"), n).alias("c"))
+    cells = codes.select("conv_id", "turn", F.posexplode("c").alias("word", "row")).select("conv_id", "word", F.posexplode("row").alias("pos", "code"))
+    return bigints(cells.groupBy("word", "pos").agg(F.sum("code").alias("total"), F.count_if(F.col("code") == 0).alias("n_zero")))
+
+
+CHAR_ENCODE_WORDS = f"""with {_CHARS.format("benchmark")},
+t as materialized (select conv_id, turn, row_number() over () r, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') w from conversations where text is not null),
+m as (select greatest(1, max(len(w))) m, count(*) n from t), u as (select r, unnest(w) x, generate_subscripts(w, 1) - 1 word from t),
+v as (select word, x, unnest(range(0, {WORD_LENGTH})) pos from u), e as (select word, pos, coalesce(code, (select count(*) + 1 from ch)) code from v left join ch on substr(x, pos + 1, 1) = c where pos < length(x)),
+s as (select word, pos, sum(code) total, count(*) k from e group by all)
+select cast(g.word as bigint) word, cast(g.pos as bigint) pos, cast(coalesce(total, 0) as bigint) total, (select n from m) - coalesce(k, 0) n_zero
+from (select word, unnest(range(0, {WORD_LENGTH})) pos from (select unnest(range(0, m)) word from m)) g left join s on s.word = g.word and s.pos = g.pos"""
+
+
 def parse_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source with the number of its last document, of items `source:doc_id`."""
     docs = read(spark, sf_dir, "documents").where("source is not null")
@@ -276,7 +299,7 @@ select epoch, score, max(score) over (order by epoch) best, coalesce(score > max
 
 def queries() -> dict:
     named = (
-        ascii_charset, char_encode, word_encode, parse_mapping, stack_pad, stack_trimmed, maskfalse, chunksteps, reverse_steps, shapes, flatzip, merge_bins,
+        ascii_charset, char_encode, char_encode_words, word_encode, parse_mapping, stack_pad, stack_trimmed, maskfalse, chunksteps, reverse_steps, shapes, flatzip, merge_bins,
         unmerge_bins, unbin, decode_predictions, binpack_balance, precision_recall_f, softmax_metrics, best_epoch,
     )
     return {f.__name__: f for f in named}
@@ -286,6 +309,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "ascii_charset": ASCII_CHARSET,
         "char_encode": CHAR_ENCODE,
+        "char_encode_words": CHAR_ENCODE_WORDS,
         "word_encode": WORD_ENCODE,
         "parse_mapping": PARSE_MAPPING,
         "stack_pad": STACK_PAD,

@@ -64,6 +64,17 @@ def test_word_codes(spark):
         encode.word_index(spark.createDataFrame([("",)], "word string"), vocabulary).collect()
 
 
+def test_words_as_a_padded_array(spark):
+    coder = encode.CharEncoder(spark.createDataFrame([("abc",)], "text string"), word_length=3)
+    df = spark.createDataFrame([(0, ["ab", "é", None]), (1, []), (2, None), (3, ["abcabc"] * 5)], "i int, w array<string>")
+    got = {r.i: r.c for r in df.select("i", coder.encode_words(F.col("w"), 4).alias("c")).collect()}
+    assert got == {0: [[1, 2, 0], [4, 0, 0], [0, 0, 0], [0, 0, 0]], 1: [[0, 0, 0]] * 4, 2: None, 3: [[1, 2, 3]] * 4}
+    with pytest.raises(Exception, match="empty strings"):
+        spark.createDataFrame([([""],)], "w array<string>").select(coder.encode_words(F.col("w"), 2)).collect()
+    with pytest.raises(ValueError, match="width"):
+        encode.CharEncoder(spark.createDataFrame([("abc",)], "text string")).encode_words(F.col("w"), 2)
+
+
 def greedy(weights, nbins):
     """Item by item."""
     loads, where = [0] * nbins, {}
