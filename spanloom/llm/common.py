@@ -51,6 +51,12 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def hashed_share(key: str, share: float) -> Column:
+    """Whether the row is among about the given share of rows whose keys hash lowest: told where it stands, so that none is sorted or
+    brought together."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))
+
+
 def map_texts(df: DataFrame, batches: Callable, schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow for rows that hold whole texts, in batches of BATCH_BYTES. The bound is the session's from then on."""
     if df.sparkSession.conf.get(BATCH_SETTING, None) is None:

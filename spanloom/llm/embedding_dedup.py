@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, hashed_share, materialise
 from .graph import connected_components, local_components
 
 THRESHOLD = 0.93
-#: Vectors that the quantisers are fitted on: those whose rows hash lowest, so many for each list and so many in all. Lists
-#: are about the square root of the vectors, up to MOST_SAMPLE / PER_LIST; beyond FLAT they are fitted in two levels.
-PER_LIST, LEAST_SAMPLE, MOST_SAMPLE, FLAT = 16, 20_000, 1 << 18, 512
+#: Vectors that the quantisers are fitted on: those whose rows hash lowest, so many for each list, so many and so many bytes (of
+#: doubles, padded to the longest vector) in all. Lists are about the square root of the vectors, up to MOST_SAMPLE / PER_LIST; beyond
+#: FLAT they are fitted in two levels.
+PER_LIST, LEAST_SAMPLE, MOST_SAMPLE, SAMPLE_BYTES, FLAT = 16, 20_000, 1 << 18, 1 << 27, 512
 PARTS, CODES, ROUNDS = 8, 64, 8
 #: Members and queries that one task compares at most.
 BLOCK = 4096
@@ -249,7 +250,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     Rows whose label or vector is null, or whose vector is empty, zero or holds null or non-finite components, link with
     nothing: 0, their own id, true. Equal vectors of a label are compared once and link with each other. A null vec_id
     takes part but names no component unless all are null, and isn't kept. Every vector is indexed; the sample only
-    places the quantisers. A vector probes the lists that a link could lead to (REACH); a link is found if either of its
+    places the quantisers, and is bounded in bytes (SAMPLE_BYTES). A vector probes the lists that a link could lead to (REACH); a link is found if either of its
     vectors probes the other's list, and then for certain, as the table-lookup filter allows for each member's quantising
     distance. Rows of vectors beyond the array<float> type are compared as doubles. An empty table gives no rows.
     """
@@ -265,8 +266,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     if not total:
         return rest
     size = min(MOST_SAMPLE, max(LEAST_SAMPLE, PER_LIST * list_count(total)))
-    chosen = single.select("v", F.xxhash64("nid").alias("h")).orderBy("h").limit(size)
-    quantiser = Quantiser(np.concatenate([_unit(np.array([r.v]), dim) for r in chosen.select("v").toLocalIterator()]), total)
+    size = min(size, max(1, SAMPLE_BYTES // (8 * dim)))
+    chosen = single.where(hashed_share("nid", size / total)).select("v")
+    sample = [_unit(np.array([r.v]), dim) for r in chosen.toLocalIterator()]
+    quantiser = Quantiser(np.concatenate(sample or [_unit(np.array([single.first().v]), dim)]), total)
     kind = "<f4" if good.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
     reach = REACH * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     indexed = materialise(_index(single.select("label", "dim", "nid", "n", "v"), quantiser, reach), "index")

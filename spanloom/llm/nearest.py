@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, hashed_share, materialise
 
 NEIGHBOURS, EVERY = 10, 100
 #: Vectors of one dimension are dealt to about the square root of their number of lists; up to FLAT of them are one list.
@@ -288,8 +288,7 @@ def nearest(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     indexes = {}
     for dim, n in large.items():
         size = max(1, min(PER_LIST * list_count(n), SAMPLE_BYTES // (8 * dim * len(large))))
-        share = int(min(1.0, 1.1 * size / n) * 2**63)
-        chosen = single.where((F.col("dim") == dim) & (F.shiftrightunsigned(F.xxhash64("sid"), 1) < share)).select("v")
+        chosen = single.where((F.col("dim") == dim) & hashed_share("sid", size / n)).select("v")
         sample = [np.array(r.v, np.float64) for r in chosen.toLocalIterator()]
         indexes[dim] = Index(np.stack(sample) if sample else np.zeros((1, dim)), list_count(n))
 

@@ -1,6 +1,7 @@
 import numpy as np
 
 from spanloom.llm import embedding_dedup as e
+from spanloom.llm.common import hashed_share
 from spanloom.llm.graph import local_components
 
 
@@ -84,3 +85,21 @@ def test_a_longer_vector_does_not_narrow_the_search(spark):
     there = int((x @ x.T >= e.THRESHOLD).sum()) - len(x)
     found = sum(r.n_links for r in e.near_vectors(frame(spark, rows)).collect())
     assert 0.99 * there <= found <= there
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    taken = []
+    real = e.Quantiser.__init__
+    monkeypatch.setattr(e.Quantiser, "__init__", lambda self, sample, n, seed=11: taken.append(sample.nbytes) or real(self, sample, n, seed))
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in np.float32(rng.normal(size=768))], 1) for k in range(800)]
+    monkeypatch.setattr(e, "SAMPLE_BYTES", 8 * 768 * 200)
+    links = e.near_vectors(frame(spark, [*rows, *[(1000 + k, v, 1) for k, v, _ in rows[:50]]]))
+    assert sum(r.n_links for r in links.collect()) == 100
+    assert 0 < taken[0] <= 1.4 * 8 * 768 * 200
+
+
+def test_shares_of_rows(spark):
+    df = spark.range(20_000)
+    assert df.where(hashed_share("id", 1.0)).count() == df.where(hashed_share("id", 7.5)).count() == 20_000
+    assert 1800 < df.where(hashed_share("id", 0.1)).count() < 2200
