@@ -262,3 +262,56 @@ def repair(rows: DataFrame) -> DataFrame:
     digests = map_texts(both.select("conv_id", "audit", "role", "text"), _written, "conv_id bigint, repaired_sha256 string")
     digests = materialise(digests.select(F.col("conv_id").alias("of"), "repaired_sha256"), "digests")
     return solved.join(digests, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", *FIGURES, "cost", "audit", "repaired_sha256")
+
+
+def _sql() -> str:
+    """The same in SQL (of DuckDB), row by row: s0 .. s3 are the cheapest cost, audit and repaired lines by state."""
+    inserted = lambda x, to: f"{{'c': {x}.c + {INSERT}, 'a': {x}.a || 'I', 'r': list_append({x}.r, '{ROLES[to]}:')}}"
+    edited = lambda x, edit, cost, line=None: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}', 'r': {f'list_append({x}.r, {line})' if line else f'{x}.r'}}}"
+    if_ = lambda condition, value: f"case when {condition} then {value} else {never} end"
+    never = "{'c': 1000000000000::bigint, 'a': '', 'r': []::varchar[]}"
+    keep = lambda x, letter: if_(f"not gone and letter = '{letter}'", edited(x, "K", "late", "role || ':' || text"))
+    speak = lambda x, to: if_("not gone", edited(x, "R", f"late + {RESPEAK}", f"'{ROLES[to]}:' || text"))
+    delete = lambda x: edited(x, "D", DELETE)
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    close = lambda source, kept: (
+        f"(select {kept}, s0, s1, {least('s2', *(inserted(x, USER) for x in ('s0', 's1', 's3')))} s2, {least('s3', inserted('s2', ASSISTANT))} s3 from {source})"
+    )
+    after = (
+        delete("s0"),
+        least(delete("s1"), keep("s0", "s")),
+        least(delete("s2"), *(keep(x, "u") for x in ("s0", "s1", "s3")), *(speak(x, USER) for x in ("s0", "s1", "s3"))),
+        least(delete("s3"), keep("s2", "a"), speak("s2", ASSISTANT)),
+    )
+    return f"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') key from conversations
+), h as (
+  select *, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end)) % {DAMAGES} kind from k
+), d as (
+  select conv_id, turn, case when kind = {TO_USER} then 'user' else role end as role,
+    case kind when {EMPTY} then '' when {UNSTOP} then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when kind = {REPEAT} then [0, 1] else [0] end) from h where kind <> {DROP}
+), convs as materialized (select conv_id, row_number() over () g from (select distinct conv_id from conversations)
+), o as (select g, turn, role, text, row_number() over (partition by g order by turn nulls first, role, sha256(text)) i from d join convs on convs.conv_id is not distinct from d.conv_id
+), f as (
+  select *, left(role, 1) letter, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when row_number() over (partition by g, role, text order by i) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated' else '' end fault from o
+), r as materialized (
+  select *, fault in ('blank', 'duplicate') gone, case when fault = 'truncated' then {UNENDED} else 0 end late, lag(letter) over (partition by g order by i) || letter pair from f
+), figures as (
+  select g, max(turn) - min(turn) + 1 - count(distinct turn) gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') "duplicate",
+    count(*) filter (fault = 'truncated') truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) illegal, max(i) n from r group by g
+), dp as (
+  select g, 0::bigint i, {{'c': 0::bigint, 'a': '', 'r': []::varchar[]}} s0, {never} s1, {never} s2, {never} s3 from convs
+  union all
+  select x.g, r.i, {", ".join(f"{a} s{k}" for k, a in enumerate(after))}
+  from {close(close("dp", "g, i"), "g, i")} x join r on r.g = x.g and r.i = x.i + 1
+), ends as (select g, i, {least("s0", "s3")} best from {close(close("dp", "g, i"), "g, i")})
+select conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce("duplicate", 0) "duplicate", coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  best.c as cost, best.a as audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) repaired_sha256
+from convs join ends using (g) left join figures using (g) where ends.i = coalesce(figures.n, 0)
+"""
+
+
+SQL = _sql()

@@ -142,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": divergence.SQL}
+    return {"op1_decontaminate": OP1_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": divergence.SQL, "op12_conversation_repair": conversation_repair.SQL}

@@ -128,3 +128,15 @@ def test_edges(spark):
     long_text = "word " * 400_000 + "end."
     rows = [(1, k, ("user", "assistant")[k % 2], long_text if k == 2 else f"Text {k}.") for k in range(3000)]
     assert run(spark, rows) == plain(rows)
+
+
+def test_sql_agrees_with_the_plain_version():
+    import duckdb
+
+    rng = random.Random(9)
+    texts = ["", " \n", "Hello.", "Why", "Wait! no", None, "Yes!", "é.", "a.\n"]
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(6)]), rng.choice(["user", "assistant", "system", "tool", "", None]), rng.choice(texts)) for _ in range(300)]
+    con = duckdb.connect()
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(c.SQL).fetchall(), key=str) == plain(rows)
