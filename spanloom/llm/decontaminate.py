@@ -129,6 +129,7 @@ def _verify(texts: DataFrame, words: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that leak a benchmark item (see find_leaks)."""
+    """docs without the documents that leak a benchmark item (see find_leaks), with the columns they have. Rows of one doc_id, null among
+    them, go together; null and empty texts stay, repeated rows too; an empty table stays empty."""
     leaked = materialise(find_leaks(docs, items, doc_id, text).select(F.col("doc_id").alias("__sl_leaked")).distinct(), "leaked")
     return docs.join(broadcast_if_small(leaked), F.col(doc_id).eqNullSafe(F.col("__sl_leaked")), "left_anti")

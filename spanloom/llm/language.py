@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialise
 
 #: Hash buckets of letter trigrams. The model is a table of languages x BUCKETS, whatever the corpus.
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
+#: Different values of lang that are learned at most; their tables are broadcast, 256 KB each.
+MOST_LANGUAGES = 256
 STEPS, AGAIN = 8, 3
 #: Nats that a language must add to a document's log-likelihood for each log(words) to stay in its set.
 PENALTY = 2.0
@@ -81,13 +83,21 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Learned languages in order, and log-probabilities of trigram buckets in each (languages x BUCKETS, float32)."""
-    found = trigram_counts(docs, text, lang).toPandas()
-    langs = sorted(found["lang"].unique())
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[np.searchsorted(langs, found["lang"]) if len(found) else [], found["bucket"]] = found["n"]
-    total = counts.sum(axis=1, keepdims=True)
-    return langs, np.log((counts + SMOOTHING) / (total + SMOOTHING * BUCKETS)).astype(np.float32)
+    """Learned languages in order, and log-probabilities of trigram buckets in each (languages x BUCKETS, float32). A language's counts
+    come to the driver as one row of BUCKETS numbers at most, one after another; more languages than MOST_LANGUAGES are an error, as the
+    column then holds something else."""
+    found = trigram_counts(docs, text, lang).groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n"))
+    found = materialise(found, "trigrams")
+    n = found.count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} different languages, {MOST_LANGUAGES} at most")
+    langs, tables = [], np.zeros((n, BUCKETS), np.float32)
+    for k, row in enumerate(found.orderBy("lang").toLocalIterator()):
+        counts = np.zeros(BUCKETS)
+        counts[row.buckets] = row.n
+        langs.append(row.lang)
+        tables[k] = np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * BUCKETS))
+    return langs, tables
 
 
 def _mix(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,46 +14,56 @@ END_ID = 2
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item and where. Null and empty texts hold none; repeated rows count once; empty tables give no rows."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its language; `und`, 0 for a text that is null or has no letter; repeated rows stay; an empty table gives no rows."""
     return language.identify(table(spark, sf_dir, "documents")).drop("shares")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its digests; null text counts as empty; repeated rows stay; an empty table gives no rows."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its fingerprint and component; null and wordless texts have fingerprint zero; repeated rows stay; an empty table gives no rows."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page its text; null html counts as empty, a page without blocks has the empty text; repeated rows stay; an empty table gives no rows."""
     return html_text.page_texts(table(spark, sf_dir, "pages"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its score; null and empty texts have the score of no terms; repeated rows stay; an empty table gives no rows."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that other texts repeat; null and short texts have none; repeated rows are copies of each other; an empty table gives no rows."""
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its place in the files; null text counts as empty and has its end id; repeated rows stay; an empty table gives no rows."""
     words = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), work_path(spark, "tokens"), words, END_ID)
     return token_files.read_token_files(spark, manifest, digest=True)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its text without boilerplate; null text stays null; repeated rows are pages of their own; an empty table gives no rows."""
     docs = line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "documents"))
     return docs.selectExpr("doc_id", "text", "cast(__sl_lines as bigint) n_lines", "cast(__sl_dropped as bigint) n_dropped")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row its links; what is no finite vector with a label has none; repeated rows link with each other; an empty table gives no rows."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 

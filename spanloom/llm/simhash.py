@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id; of its rows that repeat this doc_id one
-    stays. Rows of one doc_id may belong to different components and are told apart by their fingerprints. Of a component whose ids are all null one row stays."""
+    stays. Rows of one doc_id may belong to different components and are told apart by their fingerprints. Of a component whose ids are all null one row stays.
+    Null texts have fingerprint zero; an empty table stays empty."""
     prints = docs.select(F.col(doc_id).alias("__sl_id"), F.col(text).alias("__sl_text"))
     prints = materialise(with_fingerprint(prints, "__sl_text").select("__sl_id", "__sl_fp"), "fingerprints")
     found = materialise(components(prints, "__sl_id"), "components")

@@ -335,7 +335,8 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, manifest: str, digest: bool = False) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, and ids
-    (array<int>), or with digest their unsigned CRC-32 as ids_crc32. A task reads a shard, a chunk at a time."""
+    (array<int>), or with digest their unsigned CRC-32 as ids_crc32. A task reads a shard, a chunk at a time. Documents of null text have their end id
+    alone, null and repeated doc_ids are rows of their own; the files of an empty table give no rows."""
     system, inner = pa.fs.FileSystem.from_uri(manifest)
     with system.open_input_stream(inner) as f:
         listed = json.loads(f.read())["shards"]

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from spanloom.llm import language as g
 from spanloom.llm import queries
@@ -34,6 +35,22 @@ def test_edges(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_fitted_counts_are_those_of_the_table(spark, monkeypatch):
+    rows = [("aa bb aab", "x"), ("aa", "y"), (None, "x"), ("zz", None), ("aa bb", "x")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    counts = g.trigram_counts(df, "text", "lang").collect()
+    langs, tables = g.fit(df)
+    assert langs == ["x", "y"]
+    for lang, table in zip(langs, tables, strict=True):
+        n = np.zeros(g.BUCKETS)
+        for r in counts:
+            n[r.bucket] += r.n * (r.lang == lang)
+        assert n.sum() > 0 and np.allclose(table, np.log((n + g.SMOOTHING) / (n.sum() + g.SMOOTHING * g.BUCKETS)), atol=1e-5)
+    monkeypatch.setattr(g, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        g.fit(df)
+
+
 def test_mixture_shares_and_many_languages():
     rng = np.random.default_rng(0)
     logs = np.log(rng.dirichlet(np.full(g.BUCKETS, 0.001), 9) + 1e-9).astype(np.float32)
