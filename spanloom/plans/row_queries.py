@@ -9,10 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folds, tensors
+from ..functions import folds, patterns, tensors
+from ..functions import intervals as iv
 from ..operators import segments
 from ..streaming import documents as whole
-from .text_queries import APART, LONG, bigints, points_sql, read, stitch_sql
+from .text_queries import APART, LONG, bigints, points_sql, read, stitch_sql, tokens_sql
 
 #: Steps of a chunk, and what fills what is missing.
 STEPS, FILLER = 3, -9.0
@@ -48,6 +49,19 @@ def stitch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 STITCH_ROWS = stitch_sql(points_sql("conversations", "conv_id * 1000 + turn"))
 
 
+def reload_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every turn with a mark on the payloads of long ones: the payloads, and how many spans are the same as before."""
+    turns = read(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    marked = lambda t: iv.reload(t, F.when(F.char_length(t["data"]) > 3, F.concat(t["data"], F.lit("+"))).otherwise(t["data"]))
+    found = patterns.tokenise(turns).withColumn("loaded", F.transform("tokens", marked))
+    same = F.size(F.filter(F.zip_with("tokens", "loaded", iv.same), lambda x: x))
+    return bigints(found.where("size(tokens) > 0").select("doc_id", F.array_join(iv.unload(F.col("loaded")), " ").alias("data"), same.alias("n_same")))
+
+
+RELOAD_SPANS = f"""with {tokens_sql("conversations", "conv_id * 1000 + turn")}
+select doc_id, string_agg(case when length(data) > 3 then data || '+' else data end, ' ' order by ord) as data, count(*) filter (length(data) <= 3) n_same from tok group by doc_id"""
+
+
 def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, t: each vector as 1 x 8 x n, 2 x 4 x n or 4 x 2 x n; 1 x 1 x n if its length can't be divided by 8."""
     rows = read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
@@ -107,8 +121,8 @@ select vec_id doc_id, cast(i0 as bigint) i0, cast(i1 as bigint) i1,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (line_borders, stitch_rows, stack_tensors, chunk_tensors, scatter_halves)}
+    return {f.__name__: f for f in (line_borders, stitch_rows, reload_spans, stack_tensors, chunk_tensors, scatter_halves)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"line_borders": LINE_BORDERS, "stitch_rows": STITCH_ROWS, "stack_tensors": STACK_TENSORS, "chunk_tensors": CHUNK_TENSORS, "scatter_halves": SCATTER_HALVES}
+    return {"line_borders": LINE_BORDERS, "stitch_rows": STITCH_ROWS, "reload_spans": RELOAD_SPANS, "stack_tensors": STACK_TENSORS, "chunk_tensors": CHUNK_TENSORS, "scatter_halves": SCATTER_HALVES}
