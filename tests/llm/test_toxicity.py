@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -41,6 +42,76 @@ def test_learns_a_pair_of_words_that_tell_nothing_alone():
     assert min(score("insult w1"), score("group w1")) > 0.8 and max(score("insult group w1"), score("w1")) < 0.2
 
 
+def test_learns_a_pair_among_thousands_of_more_frequent_words():
+    rng = random.Random(3)
+    docs, labels = [], []
+    for _ in range(8000):
+        u = rng.random()
+        a, b = u < 0.04, 0.02 <= u < 0.06  # each tells nothing of the label alone
+        words = [f"w{i}" for i in rng.sample(range(3500), 175)]
+        docs.append(np.array(sorted(t.term_buckets(" ".join(words + ["insult"] * a + ["group"] * b)))))
+        labels.append(1 if a and b else 0 if a or b else int(rng.random() < 0.5))
+    m = t.fit(docs, np.array(labels))
+    score = lambda x: m.score(t.term_buckets(x))
+    assert score("insult group w1") > 0.9 and max(score("insult w1"), score("group w1")) < 0.1 and 0.3 < score("w1") < 0.7
+
+
+def plain_pairs(rows: list[set[int]], labels: list[int]) -> set[int]:
+    """Terms of telling pairs, from each pair's four cells."""
+    share = sum(labels) / len(labels)
+    got = set()
+    for a, b in itertools.combinations(sorted(set().union(*rows)), 2):
+        gap, spread, least, odds, wide = 0.0, 0.0, len(rows), 0.0, 0.0
+        for with_a, with_b in itertools.product((True, False), repeat=2):
+            cell = [y for r, y in zip(rows, labels, strict=True) if (a in r) == with_a and (b in r) == with_b]
+            gap += (1 if with_a == with_b else -1) * (sum(cell) + 0.5) / (len(cell) + 1)
+            spread += share * (1 - share) / (len(cell) + 1)
+            least = min(least, len(cell))
+            yes, no = sum(cell) + 0.5, len(cell) - sum(cell) + 0.5
+            odds += (1 if with_a == with_b else -1) * np.log(yes / no)
+            wide += 1 / yes + 1 / no
+        if least >= t.LEAST_CELL and abs(gap) >= t.PAIR_Z * spread**0.5 and abs(odds) >= t.LEAST_Z * wide**0.5:
+            got |= {a, b}
+    return got
+
+
+def test_pairs_are_those_of_a_plain_search(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        rows = [{k for k in range(12) if rng.random() < 0.4} for _ in range(400)]
+        labels = [int((1 in r) ^ (2 in r) ^ (rng.random() < 0.1)) for r in rows]
+        own = t.Sample([np.array(sorted(r), int) for r in rows], np.array(labels)).common()
+        want = plain_pairs(rows, labels)
+        assert {int(own.terms[i]) for i in own.telling_pairs()} == want and want
+        assert {int(own.terms[i]) for p in range(3) for i in own.telling_pairs(p, 3)} == want
+        assert t.in_tasks(spark, own).tolist() == own.telling_pairs().tolist()
+
+
+def test_the_query_is_that_of_a_plain_one(spark):
+    rng = random.Random(6)
+    words = ["idiot", "scum", "those", "people", *[f"w{i}" for i in range(30)]]
+    texts = [" ".join(rng.choices(words, k=6)) for _ in range(600)]
+    toxic = [int("idiot" in x or ("scum" in x and "people" in x)) for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in t.score(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")).collect()}
+    known = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [t.term_buckets(texts[i]) for i in known]
+    y = np.array([toxic[i] for i in known])
+    own = plain_pairs(rows, y.tolist())
+    for term in set().union(*rows):
+        has = np.array([term in r for r in rows])
+        p = has.mean()
+        z = abs(has[y == 1].mean() - has[y == 0].mean()) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / y.sum() + 1 / (1 - y).sum()))
+        own |= {term} if has.sum() >= t.LEAST_DOCS and z >= t.LEAST_Z else set()
+    m = t.fit([np.array(sorted(r)) for r in rows], y)
+    assert set(m.terms.tolist()) == own and zlib.crc32(b"idiot") % t.BUCKETS in own
+    for i in range(600):
+        assert got[i].held_out == (i not in set(known)) and got[i].predicted == int(got[i].score >= 0.7)
+        at = [k for k, term in enumerate(m.terms) if int(term) in t.term_buckets(texts[i])]
+        raw = m.bias + sum(m.weights[k] for k in at) + sum(m.factors[j] @ m.factors[k] for j in at for k in at if j < k)
+        assert abs(got[i].score - 1 / (1 + np.exp(-raw))) < 1e-6
+
+
 def test_training_is_that_of_a_plain_machine(monkeypatch):
     monkeypatch.setattr(t, "STEPS", 4)
     rng = np.random.default_rng(4)
