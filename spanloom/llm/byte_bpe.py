@@ -6,7 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -14,12 +14,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .bpe_together import Together
 from .common import map_texts, release
 
-#: States and pairs are memoised up to these numbers, pieces of up to SHORT characters too, which bounds a worker's memory to
-#: about 60 MB besides the vocabulary. States beyond are made anew where they are met; after STALE of them all are forgotten,
-#: and everything is at the end of a task.
-MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT = 40_000, 150_000, 60_000, 40
+#: Pieces of up to SHORT bytes go through the transducer together, those of about AT_ONCE pieces of texts; more than MOST_PIECES are
+#: remembered only if those texts hold them.
+SHORT, AT_ONCE, MOST_PIECES = 128, 100_000, 60_000
+#: For longer pieces, states and pairs are memoised up to these numbers, which bounds a worker's memory. States beyond are made anew
+#: where they are met; after STALE of them all are forgotten, and everything is at the end of a task.
+MOST_STATES, MOST_PAIRS = 20_000, 100_000
 STALE = 50 * MOST_STATES
 #: Ids that are decoded in one step.
 STEP = 4096
@@ -215,37 +218,66 @@ class Transducer:
 
 
 class Encoder:
-    """Splits text by a pattern and encodes each match separately; a match that is a token is that token."""
+    """Splits text by a pattern and encodes each match separately; a match that is a token is that token. Other matches of up to SHORT
+    bytes are run through the transducer together, longer ones by themselves."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
+        self.together = Together(self.transducer)
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.begun: list[int] = []
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
+    def _learn(self, new: list[str]) -> None:
+        short, raws = [], []
+        for piece in new:
             raw = piece.encode()
             token = self.ranks.get(raw)
-            ids = (token,) if token is not None else tuple(self.transducer.run(raw))
-        if len(self.pieces) >= MOST_PIECES:  # what is met again moves on, the rest is forgotten
-            self.older, self.pieces = self.pieces, {}
-        if len(piece) <= SHORT:
-            self.pieces[piece] = ids
-        return ids
+            if token is not None:
+                self.pieces[piece] = (token,)
+            elif len(raw) > SHORT:
+                self.pieces[piece] = tuple(self.transducer.run(raw))
+            else:
+                short.append(piece)
+                raws.append(raw)
+        self.pieces.update(zip(short, self.together.encode(raws), strict=True))
 
     def forget(self) -> None:
         self.pieces.clear()
-        self.older.clear()
+        self.begun = []
+        self.together.forget()
         self.transducer.pairs.clear()
         self.transducer.forget()
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """The ids of each text, in order."""
+        held, n = [], 0
+        for text in texts:
+            pieces = self.split(text or "")
+            for at in range(0, len(pieces) or 1, AT_ONCE):
+                held.append((pieces[at : at + AT_ONCE], at + AT_ONCE >= len(pieces)))
+                n += len(held[-1][0])
+                if n >= AT_ONCE:
+                    yield from self._finished(held)
+                    n = 0
+        yield from self._finished(held)
+
+    def _finished(self, held: list[tuple[list[str], bool]]) -> Iterator[list[int]]:
+        """The ids of the held texts that end here; those of one that doesn't wait in `begun`."""
+        different = set().union(*(pieces for pieces, _ in held))
+        if len(self.pieces) > MOST_PIECES:  # what is met again stays, the rest is forgotten
+            self.pieces = {p: ids for p, ids in self.pieces.items() if p in different}
+        self._learn([p for p in different if p not in self.pieces])
+        known = self.pieces.__getitem__
+        for pieces, ends in held:
+            self.begun.extend(chain.from_iterable(map(known, pieces)))
+            if ends:
+                ids, self.begun = self.begun, []
+                yield ids
+        held.clear()
+
     def encode(self, text: str | None) -> list[int]:
-        known, out = self.pieces.get, []
-        for piece in self.split(text or ""):
-            out.extend(known(piece) or self._piece(piece))
-        return out
+        return next(self.encode_all([text]))
 
 
 def _room(pending: bytes) -> tuple[int, range]:
@@ -341,7 +373,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _encoder(path, pattern)
         for batch in it:
-            ids = [code.encode(t.as_py()) for t in batch.column(text)]
+            ids = list(code.encode_all(t.as_py() for t in batch.column(text)))
             yield _put(batch, to, pa.array(ids, pa.list_(pa.int32())))
         code.forget()
         release()
@@ -370,8 +402,7 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "d
         names = {i: str(i) for i in code.ranks.values()}
         for batch in it:
             n, ids_sha, text_sha = [], [], []
-            for t in batch.column(1):
-                ids = code.encode(t.as_py())
+            for ids in code.encode_all(t.as_py() for t in batch.column(1)):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(back.decode(ids).encode()).hexdigest())

@@ -1,11 +1,14 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
+from spanloom.llm import bpe_together
 from spanloom.llm import byte_bpe as b
+from spanloom.llm.bpe_together import Table
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,13 +31,54 @@ def texts(n, seed):
 
 
 def test_encodes_as_the_library(ranks, library, monkeypatch):
-    for states in (b.MOST_STATES, 50):  # also when states are forgotten on the way
+    # pieces together and each by itself, also when states and pieces are forgotten and texts are cut on the way
+    for states, short, once in ((b.MOST_STATES, b.SHORT, b.AT_ONCE), (50, 0, 7), (50, 3, 1), (50, 10_000, 3)):
         monkeypatch.setattr(b, "MOST_STATES", states)
+        monkeypatch.setattr(b, "SHORT", short)
+        monkeypatch.setattr(b, "AT_ONCE", once)
+        monkeypatch.setattr(b, "MOST_PIECES", 20 * once)
         code, back = b.Encoder(ranks, P.PATTERN), b.Decoder(ranks)
         for t in [*texts(600, 1), "", "a" * 5000, "ab" * 3000]:
             ids = code.encode(t)
             assert ids == library.encode_ordinary(t)
             assert back.decode(ids) == t
+        many = [None, "", *texts(40, 3), ""]
+        assert list(code.encode_all(many)) == [library.encode_ordinary(t or "") for t in many]
+        assert list(code.encode_all([])) == []
+
+
+def test_a_table_of_numbers_is_a_dictionary():
+    rng, table, plain = random.Random(5), Table(2), {}
+    for _ in range(30):
+        new = np.array([k for k in {rng.choice([rng.randrange(50), rng.randrange(1 << 62)]) for _ in range(40)} if k not in plain], np.int64)
+        values = np.array([rng.randrange(1 << 31) for _ in new], np.int32)
+        table.put(new, values)
+        plain.update(zip(new.tolist(), values.tolist(), strict=True))
+        asked = np.array([*plain, *range(60)], np.int64)
+        assert table.get(asked).tolist() == [plain.get(k, -1) for k in asked.tolist()]
+    assert table.get(new[:0]).size == 0
+
+
+def test_pieces_together_as_by_themselves(ranks, monkeypatch):
+    monkeypatch.setattr(bpe_together, "MOST_PAIRS", 100)
+    alone, rng = b.Transducer(ranks), random.Random(6)
+    together = bpe_together.Together(alone)
+    pieces = [bytes(rng.choice(b"aeinrst \xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    assert together.encode([*pieces, *pieces[:9]]) == [tuple(alone.run(p)) for p in [*pieces, *pieces[:9]]]
+    assert together.encode([]) == []
+
+
+def test_small_vocabularies_by_merging():
+    rng = random.Random(7)
+    for _ in range(30):
+        ranks = {bytes([i]): n for n, i in enumerate(b"abc")}
+        while len(ranks) < 25:
+            x, y = rng.choice(list(ranks)), rng.choice(list(ranks))
+            if b.Transducer(ranks).by_merging(x + y) == [x, y]:  # as training joins neighbours
+                ranks[x + y] = len(ranks)
+        t = b.Transducer(ranks)
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 25))) for _ in range(200)]
+        assert bpe_together.Together(t).encode(pieces) == [tuple(ranks[x] for x in t.by_merging(p)) for p in pieces]
 
 
 def test_pairs_by_their_edges_agree_with_merging(ranks):
@@ -58,6 +102,8 @@ def test_streaming_decode_of_any_bytes(ranks):
 def test_a_vocabulary_without_a_byte_is_an_error():
     with pytest.raises(ValueError, match="no token"):
         b.Transducer({b"a": 0}).run(b"ab")
+    with pytest.raises(ValueError, match="no token"):
+        bpe_together.Together(b.Transducer({b"a": 0})).encode([b"aa", b"ab"])
 
 
 def test_columns(spark, library):
