@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator
 
-PAGES, SEED = 700, 5
+#: Pages, seed, and the share of pages without speaking elements.
+PAGES, SEED, SILENT = 1000, 5, 0.25
 
 # Words that furniture of pages tends to hold.
 CUES = frozenset(
@@ -17,6 +18,9 @@ CUES = frozenset(
     tweet twitter up updated username view website youtube""".split()
 )
 
+# Beginnings of the names of furniture.
+STEMS = ("comment", "foot", "head", "menu", "nav", "side", "share", "social", "widget", "cookie", "ad", "promo", "disqus", "breadcrumb", "relat")
+
 # Tags and names under which pages keep their main text and their furniture.
 MAIN = [
     "article", "article", "article", "main", "main", "section", "div class=post", "div class='entry-content'", "div class=article-body",
@@ -31,7 +35,7 @@ SIDE = ["aside", "aside", "div class=sidebar", "div id=sidebar", "div class=widg
 ADS = ["div class=ad", "div class=ad", "div class=ads", "div class=advert", "div class=advertisement", "div class=sponsored", "div class=promo", "div id=ad", "aside class=ad", "div class='ad-slot'", "section class=promotion"]
 NOTICE = ["div class=cookie", "div class='cookie-banner'", "div class=notice", "div class=consent", "div id=gdpr", "div class=alert", "div class=newsletter", "div class=popup", "div class=modal", "div role=alert", "dialog", "div class=message", "div class=paywall", "section class=notice"]
 FORMS = ["form", "form", "form class=search", "form id=login", "form class=subscribe", "div class=signup", "div class='search-box'", "fieldset"]
-COMMENTS = ["div class=comments", "section class=comments", "div id=comments", "div class=comment", "section id=comments", "div class=discussion", "div class=replies", "div id=disqus", "ol class=commentlist", "div class=respond", "div class=reviews", "div class=feedback"]
+COMMENTS = ["div class=comments", "section class=comments", "div id=comments", "div class=comment", "section id=comments", "div class=discussion", "div class=replies", "div id=disqus", "ol class=commentlist", "div class=respond", "div id=disqus_thread", "ol class=comment-list", "ul class=commentlist", "div class=reviews", "div class=feedback"]
 SOCIAL = ["div class=share", "div class=social", "ul class=social", "div class='share-buttons'", "div class=tags", "div class=tools"]
 SYLLABLES = "an be co da el fi gu ha in jo ka lu mi no or pe qua re so tu un va wi xe yo ze sch tion ment ing er en é ü ñ ó ß à 的 ко".split()
 
@@ -97,7 +101,8 @@ class Page:
     def footer(self) -> None:
         def fill() -> None:
             for _ in range(self.rng.randint(1, 4)):
-                text = self.rng.choice([f"© {self.words(1, 4)}", f"© {self.word()} · {self.prose(1, 2)}", self.label_text(), f"{self.label_text()} | {self.label_text()}", self.prose(1, 3)])
+                rights = f"© {self.rng.randint(1995, 2030)} {self.word().capitalize()}. All rights reserved."
+                text = self.rng.choice([rights, f"© {self.words(1, 4)}", f"© {self.word()} · {self.prose(1, 2)}", self.label_text(), f"{self.label_text()} | {self.label_text()}", self.prose(1, 3)])
                 self.block(self.rng.choice(["p", "div", "li"]) if self.rng.random() < 0.7 else "p", text, 0, link=self.rng.random() < 0.3)
 
         self.inside(self.rng.choice(FOOTER), fill if self.rng.random() < 0.7 else lambda: self.bare(f"© {self.words(1, 3)} · {self.prose(1, 2)}"))
@@ -138,7 +143,7 @@ class Page:
                     self.block(self.rng.choice(["div", "p", "cite class=author"]) if self.rng.random() < 0.9 else "h4", self.label_text(), 0)
                     self.block("p", self.prose(1, 4), 0)
 
-                self.inside(self.rng.choice(["div class=comment", "div", "article class=comment", "li", "div class=reply"]), one)
+                self.inside(self.rng.choice(["div class=comment", "div", "article class=comment", "li", "li class=comment", "div class=reply", "div class=post"]), one)
 
         self.inside(self.rng.choice(COMMENTS), fill)
 
@@ -183,6 +188,42 @@ class Page:
         if self.rng.random() < 0.15:
             self.comments()
 
+    def silent(self) -> None:
+        """A page whose elements don't say what they are for: a block or more of prose, furniture only in few words."""
+        shell = lambda: self.rng.choice(["div", "div", "td", "center", f"div id={self.rng.choice('xyzpq')}", f"div class={self.rng.choice('xyzpq')}"])
+
+        def labels(low: int, high: int) -> None:
+            for _ in range(self.rng.randint(low, high)):
+                self.block(shell(), self.rng.choice([self.label_text(), f"© {self.label_text()}"]), 0, link=self.rng.random() < 0.5)
+
+        def text() -> None:
+            kind = self.rng.random()
+            if kind < 0.25:
+                parts = [self.prose(1, 4) for _ in range(self.rng.randint(1, 4))]
+                self.blocks.append((" ".join(parts), 1))
+                self.out.append("<br><br>".join(parts))
+                return
+            if self.rng.random() < 0.5:
+                self.block(self.rng.choice(["h1", "h2"]), self.words(1, 8).capitalize(), 1)
+            for _ in range(self.rng.randint(1, 6)):
+                self.block("p" if kind < 0.85 else "div", self.prose(1, 4), 1)
+
+        if self.rng.random() < 0.3:  # a table that lays out the page
+            rows = [lambda: labels(1, 4), lambda: self.inside("td", text)]
+            if self.rng.random() < 0.5:
+                rows.append(lambda: labels(1, 2))
+            self.inside("table", lambda: self.inside("tr", lambda: [fill() for fill in rows]))
+            return
+        furnished = self.rng.random() < 0.6
+        if furnished:
+            labels(1, 4)
+        fill = text
+        for _ in range(self.rng.choice([0, 1, 1, 2]) or int(furnished)):
+            fill = lambda own=shell(), inner=fill: self.inside(own, inner)
+        fill()
+        if furnished:
+            labels(0, 3)
+
     def whole(self) -> str:
         def body() -> None:
             if self.rng.random() < 0.5:
@@ -197,6 +238,12 @@ class Page:
             if self.rng.random() < 0.85:
                 self.footer()
 
+        if self.rng.random() < SILENT:
+            if self.rng.random() < 0.3:
+                self.silent()
+                return "".join(self.out)
+            self.inside("body", self.silent)
+            return "<html>" + "".join(self.out) + "</html>"
         fill = body
         for _ in range(self.rng.choice([0, 0, 1, 2])):
             fill = lambda shell=self.rng.choice(WRAPS), inner=fill: self.inside(shell, inner)

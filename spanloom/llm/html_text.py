@@ -34,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag ends an open element of these, up to the nearest of the second set.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 ENDS = {tag: (a.split(), b.split()) for tag, (a, b) in ENDS.items()}
+#: Elements that say what their content is for; others do if they have a class, id or role.
+SPEAKING = frozenset("article aside dialog fieldset footer form header main menu nav".split())
 #: Features of ancestors' names that a block has at most, and paths that are remembered between pages.
 MOST_NAMES, MOST_NODES = 512, 50_000
 
@@ -41,7 +43,7 @@ MOST_NAMES, MOST_NODES = 512, 50_000
 class Node:
     """An element of a path: its tag, name tokens and parent. Equal paths are one node, so features are made once."""
 
-    __slots__ = ("children", "features", "found", "hidden", "names", "parent", "tag")
+    __slots__ = ("children", "features", "found", "hidden", "names", "parent", "tag", "under")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
@@ -49,6 +51,8 @@ class Node:
         self.children: dict = {}
         self.found: frozenset[str] | None = None if parent else frozenset()
         self.features: tuple[str, ...] | None = None
+        #: The nearest element from here up that says what its content is for, the root if none does.
+        self.under: Node = self if parent is None or names or tag in SPEAKING else parent.under
 
     def child(self, tag: str, names: tuple[str, ...]) -> Node:
         node = self.children.get((tag, names))
@@ -230,6 +234,7 @@ def _found(node: Node) -> frozenset[str]:
         node = node.parent
     for below in reversed(line):
         own = {f"in={below.tag}", *(f"name={n}" for n in below.names)}
+        own.update(f"stem={stem}" for n in below.names for stem in html_pages.STEMS if n.startswith(stem))
         below.found = node.found if own <= node.found or len(node.found) >= MOST_NAMES else node.found | own
         node = below
     return node.found
@@ -244,6 +249,8 @@ def _path_features(node: Node) -> tuple[str, ...]:
             found.add(f"up{k}={up.tag}")
             found.update(f"up{k}name={n}" for n in up.names)
             up = up.parent
+        found.add(f"under={node.under.tag or 'none'}")
+        found.update(f"undername={n}" for n in node.under.names)
         node.features = tuple(sorted(found or {"in=none"}))
     return node.features
 
@@ -255,6 +262,8 @@ def features(block: Block) -> tuple[str, ...]:
     found = [*_path_features(block.path), f"long={min(n, 1023).bit_length()}", f"links={min(3, 4 * block.linked // (n + 1))}", "end" if text[-1] in ".!?:;\"'”»…)" else "no end"]
     if text.count(".") + text.count(",") >= 3:
         found.append("sentences")
+    if not block.path.under.tag:
+        found.extend(("silent " + found[-1], f"silent long={min(n, 1023).bit_length()}"))
     if "©" in text or "|" in text:
         found.append("marks")
     if n < 120:
@@ -287,7 +296,7 @@ class Chain:
         return [bool(s) for s in reversed(states)]
 
 
-def train(pages: list[tuple[list[tuple[str, ...]], list[int]]], steps: int = 80, rate: float = 0.1, shrink: float = 2e-4) -> Chain:
+def train(pages: list[tuple[list[tuple[str, ...]], list[int]]], steps: int = 150, rate: float = 0.2, shrink: float = 2e-5) -> Chain:
     """Maximum likelihood by Adam: pages of (features of each block, its state), gradients by forward-backward."""
     names = sorted({f for feats, _ in pages for fs in feats for f in fs})
     number = {f: i for i, f in enumerate(names)}

@@ -104,3 +104,48 @@ def test_pages_made_to_be_slow():
             h.features(b)
         assert time.process_time() - began < 8
         assert want is None or [b.text for b in blocks] == want
+
+
+PROSE = ["Paragraph one tells of the river, its banks and the town. It goes on.", "The second says more, of mills. And of fish.", "Winter came early.", "Nobody was in the street, so the lamps stayed dark."]
+KEPT = "".join(f"<p>{p}</p>" for p in PROSE)
+REMARKS = [f"<p>{p}</p>" for p in ("I liked this piece very much, thank you.", "Not sure that it is right. But well written.")]
+
+
+def framed(after="", within=""):
+    return f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><main><article><h1>The river</h1>{KEPT}{within}</article></main>{after}</body></html>"
+
+
+def test_pages_unlike_those_trained_on():
+    chain, listed = h.model(), "".join(f"<li>{r}</li>" for r in REMARKS)
+    whole = ["The river", *PROSE]
+    for page, want in (
+        (framed("<footer><p>© 2020 Site. All rights reserved.</p></footer>"), whole),
+        (framed("<footer><p>The Site is published by the Company of the River, which has its seat in the town.</p></footer>"), whole),
+        (framed(f'<ol class="commentlist">{listed}</ol>'), whole),
+        (framed(within=f'<ol class="commentlist">{listed}</ol>'), whole),
+        (framed(f'<div id="disqus_thread"><div class="post">{REMARKS[0]}</div></div>'), whole),
+        (f"<body><div>Menu</div><div><div>{KEPT}</div></div><div>foot</div></body>", PROSE),
+        (f"<table><tr><td>Menu</td><td>{KEPT}</td></tr></table>", PROSE),
+        ("<p>Only one paragraph is here, and it tells of the river.</p>", ["Only one paragraph is here, and it tells of the river."]),
+        (f'<div id="x">{"<br><br>".join(PROSE)}</div>', [" ".join(PROSE)]),
+        (PROSE[0], PROSE[:1]),
+    ):
+        assert h.main_text(page, chain) == "\n".join(want)
+
+
+def test_layouts_left_out_of_training():
+    """Block by block: layouts with names and nesting that html_pages doesn't write."""
+    chain, right = h.model(), {}
+    listed = "".join(f'<li id="c{i}"><b>Ann</b>{r}</li>' for i, r in enumerate(REMARKS))
+    links = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("News", "Sport", "Weather", "About us"))
+    for name, page, main in (
+        ("blog", f"<div class=hdr><a href=/>River blog</a></div><div class=hentry><h2>The river</h2>{KEPT}</div><div class=comments-area><ol>{listed}</ol></div><div class=footer-widgets><p>Made in the town by river people.</p></div>", ["The river", *PROSE]),
+        ("news", f"<ul class=navigation>{links}</ul><section class=story-body><header><h1>The river</h1></header>{KEPT}<aside><p>Read more of the mills here.</p></aside></section><footer><ul>{links}</ul><p>© 2019 News</p></footer>", ["The river", *PROSE]),
+        ("forum", f"<div class=navbar>{links}</div><div class=content><div class=message-body>{KEPT}</div></div><div class=footnav><p>Terms of the forum are binding.</p></div>", PROSE),
+        ("old", f"<center><a href=/>Home</a> | <a href=/m>Map</a></center><h1>The river</h1>{KEPT}<center>Last updated 1999</center>", ["The river", *PROSE]),
+        ("wiki", f"<div id=mw-navigation><ul>{links}</ul></div><div id=bodyContent><h1>The river</h1>{KEPT}<ul><li>A list of mills.</li><li>A list of bridges.</li></ul></div><div id=footer-info><p>This page was last edited in May.</p></div>", ["The river", *PROSE, "A list of mills.", "A list of bridges."]),
+        ("shop", f"<header><form><button>Search</button></form></header><main><div class=description>{KEPT}</div><div class=related-items><h3>Related</h3>{links}</div><section id=reviews>{''.join(REMARKS)}</section></main><div class=cookie-bar>We use cookies, you agree to them.</div>", PROSE),
+    ):
+        blocks = h.leaf_blocks(page)
+        right[name] = sum(s == (b.text in main) for s, b in zip(chain.decode(blocks), blocks, strict=True)), len(blocks)
+    assert sum(a for a, _ in right.values()) >= 0.9 * sum(b for _, b in right.values())
