@@ -31,7 +31,7 @@ SHARED, RUN = (SPAN - MISSES + 1) // 2, 3
 WIDTH = SHARED - RUN + 1
 #: Texts that share this many shingles in a row are alike there.
 ENOUGH = SPAN - MISSES
-#: Texts of a signature are compared each with each up to this number; those of larger ones by longer runs.
+#: Texts of a signature are compared each with each up to this number; of larger ones all that is alike is found by longer keys.
 EACH = 8
 #: A table of the texts' signatures is broadcast up to this many of them in all.
 BROADCAST_KEYS = 1_000_000
@@ -181,8 +181,9 @@ def _each(tid: np.ndarray, heads: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def _by_key(columns: list[str], use: Callable[[np.ndarray], Iterator[pa.RecordBatch]]):
-    """A function of rows in order of their first column, given to `use` as whole groups of it."""
+def _by_key(columns: list[str], use: Callable[[np.ndarray], Iterator[pa.RecordBatch]], packed: str | None = None):
+    """A function of rows in order of their first column, given to `use` as whole groups of it; packed: a column of PACKED
+    numbers of 64 bits a row, which come last."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -190,8 +191,12 @@ def _by_key(columns: list[str], use: Callable[[np.ndarray], Iterator[pa.RecordBa
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns], axis=1)
+            if packed:
+                _, ends, data = batch.column(packed).buffers()
+                first = int(np.frombuffer(ends, np.int32)[batch.column(packed).offset])
+                rows = np.concatenate([rows, np.frombuffer(data, np.int64, len(rows) * PACKED, first).reshape(-1, PACKED)], axis=1)
             held.append(rows)
-            if rows[-1, 0] == held[0][0, 0] or sum(map(len, held)) < 1 << 16:
+            if rows[-1, 0] == held[0][0, 0] or sum(map(len, held)) < (AT_ONCE if packed else 1 << 16):
                 continue
             rows = np.concatenate(held)
             cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
@@ -223,10 +228,17 @@ def _meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     )
 
 
-LONGER = "kind tinyint, part bigint, tid bigint, first int, last int"
+FOUND = "kind tinyint, part bigint, tid bigint, first int, last int"
+#: How far a window of SPAN shingles that holds a run of RUN reaches beyond it, on either side; all that it may reach; the
+#: columns of 64 bits that hold as many hashes of 32 bits.
+REACH = SPAN - RUN
+AROUND = 2 * REACH + RUN
+PACKED = (AROUND + 1) // 2
+#: Rows for which longer keys are made at once, and such keys; more if a signature alone has them.
+AT_ONCE, KEYS_AT_ONCE = 1 << 12, 1 << 16
 
 
-def _long_rows(kinds: list[int], parts: list, tids: list, firsts: list, lasts: list) -> pa.RecordBatch:
+def _found(kinds: list[int], parts: list, tids: list, firsts: list, lasts: list) -> pa.RecordBatch:
     n = [len(x) for x in tids]
     return _table(
         {
@@ -239,16 +251,6 @@ def _long_rows(kinds: list[int], parts: list, tids: list, firsts: list, lasts: l
     )
 
 
-def _exact(key: np.ndarray, tid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in order of key and tid, each of a run that is the same in all rows of its key: which lie in keys of two texts or
-    more, the least text of each row's key, which rows are the first of their key."""
-    heads, n = _groups(key)
-    several = tid[heads] != tid[heads + n - 1] if len(heads) else np.empty(0, bool)
-    head = np.zeros(len(key), bool)
-    head[heads] = True
-    return np.repeat(several, n), np.repeat(tid[heads], n), head
-
-
 def _merged(tid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The union of spans of each tid."""
     order = np.lexsort((first, tid))
@@ -262,14 +264,73 @@ def _merged(tid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return tid[at], first[at], (reach - lift)[ends]
 
 
-def _longer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From tid, text, keys (its signatures that more than EACH texts have): stretches of these signatures alone, as texts
-    that share another one have met by it. Rows of kind 0: part = a run of ENOUGH shingles, with the span that is alike
-    wherever another text has the run; kind 1: part = two signatures in a row; 2: a span of tid that another text of the
-    slice has; 3: tid and a text it is alike to (part); 4: tid and a text it is to be compared with (part).
-
-    Of the runs of ENOUGH shingles the minima of each SPAN shingles are taken, so that all passages of SPAN share one. What
-    meets within the slice is settled here: a row for each run goes on, however many texts of the slice have it."""
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """The different rows of two columns."""
+    return rows[_distinct(rows[:, 0], rows[:, 1])]
+
+
+class _Alike:
+    """Collects spans (in shingles) and links of texts that are known to be alike."""
+
+    def __init__(self):
+        self.spans = [np.empty((0, 3), np.int64)]
+        self.links = [np.empty((0, 2), np.int64)]
+        self.held = 0
+
+    def add(self, key: np.ndarray, tid: np.ndarray, first: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of which those of one key are alike from first to before end: each is linked to the key's least text. Which
+        rows have a key that another text has too."""
+        order = np.lexsort((tid, key))
+        key, tid = key[order], tid[order]
+        heads, n = _groups(key)
+        several = np.repeat(tid[heads] != tid[heads + n - 1], n) if len(heads) else np.empty(0, bool)
+        least, at = np.repeat(tid[heads], n)[several], order[several]
+        self.links.append(_pairs(np.stack([tid[several], least], axis=1)))
+        self.spans.append(np.stack(_merged(tid[several], np.maximum(first[at], 0), np.minimum(end[at], size[at]) - 1), axis=1))
+        self.held += len(self.spans[-1]) + len(self.links[-1])
+        if self.held > KEYS_AT_ONCE:
+            self.spans, self.links = [np.stack(_merged(*np.concatenate(self.spans).T), axis=1)], [_pairs(np.concatenate(self.links))]
+            self.held = 0
+        met = np.zeros(len(order), bool)
+        met[at] = True
+        return met
+
+    def batch(self) -> list[np.ndarray]:
+        """tid, first, last (words) of the spans, and pairs of linked texts."""
+        tid, first, last = _merged(*np.concatenate(self.spans).T)
+        links = _pairs(np.concatenate(self.links))
+        return [tid, first, last + SHINGLE - 1, links[links[:, 0] != links[:, 1]]]
+
+
+def _same_around(alike: _Alike, key: np.ndarray, tid: np.ndarray, place: np.ndarray, size: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Settles rows whose surroundings (near) are all the same in several texts: no other text can add to what is alike there.
+    Places of the rows that go on, of such rows one."""
+    left, right = np.minimum(place, REACH), np.minimum(size - place - RUN, REACH)
+    whole = _mixed(key.view(np.uint64), 7) + (left * AROUND + right).astype(np.uint64)
+    for column in near.T:
+        whole = _mixed(whole, 8) + column
+    met = alike.add(whole, tid, place - left - MISSES, place + RUN + right + MISSES, size)
+    go = ~met
+    rows = np.flatnonzero(met)
+    rows = rows[np.lexsort((tid[rows], whole[rows]))]
+    go[rows[_groups(whole[rows])[0]]] = True
+    return np.flatnonzero(go)
+
+
+def _limits(values: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How far stretches reach before each run (at, of the values; low byte) and behind it in which it is the first of the least."""
+    own = values[at]
+    out = [np.minimum(place, REACH), np.minimum(size - place - RUN, REACH)]
+    for j in range(REACH, 0, -1):
+        out[0] = np.where((out[0] >= j) & (values[np.maximum(at - j, 0)] <= own), j - 1, out[0])
+        out[1] = np.where((out[1] >= j) & (values[np.minimum(at + j, len(values) - 1)] < own), j - 1, out[1])
+    return (out[0] + (out[1] << 8)).astype(np.uint32)
+
+
+def _around(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From tid, text, keys (its signatures that more than EACH texts have). Rows of kind 1: part = such a signature, first =
+    its place in tid, last = how many shingles tid has, near = the shingles around it, 32 bits of each; what is the same all
+    around in texts of the slice goes on once. Kind 2: a span of tid that is alike; 3: tid and a text it is alike to (part)."""
     for batch in it:
         for part in _parts(batch, 1):
             tids, lists = part.column(0).to_numpy(), part.column(2)
@@ -278,80 +339,160 @@ def _longer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             holder = np.repeat(np.arange(len(tids)), np.diff(lists.offsets.to_numpy()))
             named = _mixed(lists.flatten().to_numpy().view(np.uint64), 5) + holder.astype(np.uint64)
             large = np.isin(_mixed(key, 5) + text[at].astype(np.uint64), named)
-
-            # stretches of WIDTH whose minimum is another signature, counted from the left
-            other = np.zeros(len(base) + 1, np.int64)
-            if len(at):
-                values = run_hashes(base, RUN)
-                rest = np.full(len(values), ALL, np.uint64)
-                rest[at[~large]] = key[~large]
-                met = (_over(rest, WIDTH, np.minimum) == _over(values, WIDTH, np.minimum)).cumsum()
-                other[1 : len(met) + 1] = met
-                other[len(met) + 1 :] = met[-1]
-            runs = run_hashes(base, ENOUGH)
-            own = text[: len(runs)]
-            place = np.flatnonzero(own == text[ENOUGH - 1 :]) if len(runs) else np.empty(0, np.int64)
-            place = place[minima(runs[place], own[place], SPAN - ENOUGH + 1)]
-            place = place[other[place] == other[place + ENOUGH - SHARED + 1]]
-            size = np.bincount(text, minlength=len(tids))
-            start = np.cumsum(size) - size
-            where = text[place]
-            first = np.maximum(place - start[where] - MISSES, 0)
-            last = np.minimum(place - start[where] + SPAN, size[where]) + SHINGLE - 2
-            tid, run = tids[where], runs[place].view(np.int64)
-            order = np.lexsort((tid, run))
-            run, tid, first, last = run[order], tid[order], first[order], last[order]
-            several, least, head = _exact(run, tid, first, last)
-            go = head | ~several
-            spans = _merged(tid[several], first[several], last[several])
-            links = np.unique(np.stack([tid[several], least[several]], axis=1), axis=0)
-
-            near = np.flatnonzero(large[1:] & large[:-1] & (text[at[1:]] == text[at[:-1]]) & (np.diff(at) <= SPAN)) if len(at) > 1 else np.empty(0, np.int64)
-            two, who = _mixed(key[near] * JOIN + key[near + 1], 9).view(np.int64), tids[text[at[near]]]
-            keep = _distinct(two, who)
-            two, who = two[keep], who[keep]
-            heads, n = _groups(two)
-            many = np.repeat(n > EACH, n)
-            forth = ~many | (np.arange(len(two)) - np.repeat(heads, n) <= EACH)
-            u, v = _star(two[many], who[many])
-            none = np.zeros(max(len(two), len(links), len(u)), np.int64)
-            yield _long_rows(
-                [0, 1, 2, 3, 4],
-                [run[go], two[forth], spans[0], links[:, 1], v],
-                [tid[go], who[forth], spans[0], links[:, 0], u],
-                [first[go], none[: forth.sum()], spans[1], none[: len(links)], none[: len(u)]],
-                [last[go], none[: forth.sum()], spans[2], none[: len(links)], none[: len(u)]],
-            )
-
-
-def _star(key: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text of a key with the least one; rows in order of key and tid, distinct. The least is the same for most keys
-    of a group of texts, so few pairs are made."""
-    heads, n = _groups(key)
-    pairs = np.stack([np.repeat(tid[heads], n), tid], axis=1) if len(key) else np.empty((0, 2), np.int64)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """part, kind, tid, first, last of kinds 0 and 1 of several slices: kinds 2, 3 and 4 of what meets."""
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
-    run, _, tid, first, last = rows[rows[:, 1] == 0].T
-    several, least, _ = _exact(run, tid, first, last)
-    spans = _merged(tid[several], first[several], last[several])
-    links = np.unique(np.stack([tid[several], least[several]], axis=1), axis=0)
-    two, _, who, _, _ = rows[rows[:, 1] == 1].T
-    keep = _distinct(two, who)
-    two, who = two[keep], who[keep]
-    heads, n = _groups(two)
-    u, v = _each(who, heads, n)
-    many = np.repeat(n > EACH, n)
-    x, y = _star(two[many], who[many])
-    u, v = np.concatenate([u, x]), np.concatenate([v, y])
-    none = np.zeros(max(len(links), len(u)), np.int64)
-    yield _long_rows(
-        [2, 3, 4], [spans[0], links[:, 1], v], [spans[0], links[:, 0], u], [spans[1], none[: len(links)], none[: len(u)]], [spans[2], none[: len(links)], none[: len(u)]]
-    )
+            at, key = at[large], key[large].view(np.int64)
+            sizes = np.bincount(text, minlength=len(tids))
+            place, size, tid = at - (np.cumsum(sizes) - sizes)[text[at]], sizes[text[at]], tids[text[at]]
+            low, values, alike = base.astype(np.uint32), run_hashes(base, RUN), _Alike()
+            for a in range(0, len(at), AT_ONCE):
+                now = slice(a, a + AT_ONCE)
+                steps = np.arange(-REACH, RUN + REACH)
+                where = place[now, None] + steps
+                near = np.where((where >= 0) & (where < size[now, None]), low[np.clip(at[now, None] + steps, 0, len(low) - 1)], np.uint32(0))
+                near = np.concatenate([near, _limits(values, at[now], place[now], size[now])[:, None]], axis=1).view(np.uint64)
+                go = _same_around(alike, key[now], tid[now], place[now], size[now], near)
+                yield _with_near(_found([1], [key[now][go]], [tid[now][go]], [place[now][go]], [size[now][go]]), near[go])
+            settled = _settled(alike)
+            yield _with_near(settled, np.zeros((settled.num_rows, PACKED), np.uint64))
+
+
+def _with_near(rows: pa.RecordBatch, near: np.ndarray) -> pa.RecordBatch:
+    near = np.ascontiguousarray(near)
+    ends = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * np.int32(8 * PACKED))
+    return rows.append_column("near", pa.BinaryArray.from_buffers(pa.binary(), rows.num_rows, [None, ends.buffers()[1], pa.py_buffer(near)]))
+
+
+def _settled(alike: _Alike) -> pa.RecordBatch:
+    tid, first, last, links = alike.batch()
+    none = np.zeros(len(links), np.int64)
+    return _found([2, 3], [tid, links[:, 1]], [tid, links[:, 0]], [first, none], [last, none])
+
+
+def _nodes(root: np.ndarray, near: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tries of what follows (near, of reach shingles) the rows of each root: each row's node at each depth, at which
+    depths it parts from another row or ends, where others have come with it, and reach."""
+    n, depth = near.shape
+    nodes, parts = np.empty((n, depth + 1), np.int32), np.zeros((n, depth + 1), bool)
+    nodes[:, 0] = root
+    for d in range(depth + 1):
+        node, ends = nodes[:, d].astype(np.uint64), reach <= d
+        child = np.uint64(1 << 32) if d == depth else np.where(ends, np.uint64(1 << 32), near[:, min(d, depth - 1)].astype(np.uint64))
+        kinds, which = np.unique((node << np.uint64(33)) | child, return_inverse=True)
+        branches = np.bincount((kinds >> np.uint64(33)).astype(np.int64), minlength=int(nodes[:, d].max()) + 1)
+        rows = np.bincount(nodes[:, d])
+        parts[:, d] = ((branches[nodes[:, d]] > 1) | (reach == d)) & (rows[nodes[:, d]] > 1) & (reach >= d)
+        if d < depth:
+            nodes[:, d + 1] = which
+    return nodes, parts, reach
+
+
+def _joined(*columns: np.ndarray) -> np.ndarray:
+    """A hash of each row's values."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for k, c in enumerate(columns):
+        out = _mixed(out, 11 + k) + c.astype(np.uint64)
+    return _mixed(out, 10)
+
+
+class _Texts:
+    """Rows of whole signatures, read forwards or backwards."""
+
+    def __init__(self, root: np.ndarray, tid: np.ndarray, place: np.ndarray, size: np.ndarray, near: np.ndarray, before: tuple, after: tuple):
+        self.root, self.tid, self.place, self.size, self.before, self.after = root, tid, place, size, before, after
+        self.reach = np.minimum(size - place - RUN, REACH)
+        self.sums, self.powers = np.zeros((len(near), AROUND + 1), np.uint64), np.ones(AROUND + 1, np.uint64)
+        for k in range(AROUND):
+            self.sums[:, k + 1] = self.sums[:, k] * JOIN + (near[:, k].astype(np.uint64) + np.uint64(1)) * JOIN
+            self.powers[k + 1 :] *= JOIN
+
+    def stretch(self, row: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of the n shingles from `at`, counted from the signature."""
+        return self.sums[row, at + REACH + n] - self.sums[row, at + REACH] * self.powers[n]
+
+    def unbroken(self, alike: _Alike) -> None:
+        """Stretches of ENOUGH shingles that several texts have, each told by its own signature only."""
+        a = np.arange(ENOUGH - RUN + 1)
+        for row, a in _where((self.before[2][:, None] >= a) & (self.after[2][:, None] >= ENOUGH - RUN - a), 1):
+            first = self.place[row] - a
+            alike.add(_joined(self.root[row], self.stretch(row, -a, np.full(len(a), ENOUGH))), self.tid[row], first - MISSES, first + SPAN, self.size[row])
+
+    def one_break(self, alike: _Alike) -> None:
+        """Passages of ENOUGH shingles with a break behind the signature: n shingles that end `b` behind it, at most MISSES
+        that are passed over, and the rest. Two texts are unbroken just up to where they part in the tries before and after."""
+        (left, parts_left, limit), (right, parts_right, _) = self.before, self.after
+
+        def add(row: np.ndarray, n: np.ndarray, b: int, gap: np.ndarray) -> np.ndarray:
+            fits = np.flatnonzero(b + gap + ENOUGH - n <= self.reach[row])
+            row, n, gap = row[fits], n[fits], gap[fits]
+            key = _joined(self.root[row], n, self.stretch(row, RUN + b - n, n), self.stretch(row, RUN + b + gap, ENOUGH - n))
+            first = self.place[row] + RUN + b - n
+            return fits[alike.add(key, self.tid[row], first - MISSES + gap, first + SPAN, self.size[row])]
+
+        gaps = np.arange(MISSES + 1)
+        for b in range(ENOUGH - RUN):
+            here = np.flatnonzero(parts_right[:, b])
+            low, high = max(0, SHARED - RUN - b), ENOUGH - RUN - b - 1
+            if not len(here) or low > high:
+                continue
+            cells = parts_left[here, low : high + 1]
+            cells[:, -1] |= limit[here] >= high
+            most = np.full((len(here), len(gaps)), SHARED)  # of each row and gap the longest before the break that another text shares
+            for row, a in _where(cells, len(gaps)):
+                a += low
+                _, which, n = np.unique(_joined(left[here[row], a], right[here[row], b], a), return_inverse=True, return_counts=True)
+                row, a, gap = (x.ravel() for x in np.broadcast_arrays(row[n[which] > 1][:, None], a[n[which] > 1][:, None], gaps))
+                met = add(here[row], a + RUN + b, b, gap)
+                np.maximum.at(most, (row[met], gap[met]), a[met] + RUN + b)
+            some = np.flatnonzero(most.ravel() > SHARED)  # less before the break and more behind it
+            for at, n in _where(most.ravel()[some, None] > np.arange(SHARED, ENOUGH), 1):
+                at = some[at]
+                add(here[at // len(gaps)], n + SHARED, b, at % len(gaps))
+
+
+def _where(cells: np.ndarray, times: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of the cells that are set, whole columns at a time, of about KEYS_AT_ONCE cells, each counted `times`."""
+    total = np.cumsum(cells.sum(axis=0)) * times
+    start = 0
+    while start < len(total) and total[-1] > (total[start - 1] if start else 0):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + KEYS_AT_ONCE, side="right")))
+        row, column = np.nonzero(cells[:, start:end])
+        if len(row):
+            yield row, column + start
+        start = end
+
+
+def _about(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """part, kind, tid, first, last, near of whole signatures: kinds 2 and 3 of what is alike about each, however many texts
+    have it. A window that is alike and holds the signature in an unbroken stretch has all but MISSES of its shingles in that
+    stretch or has one break; a key of those shingles is the same in all texts that are alike so, and in no other."""
+    part, kind, tid, first, last = rows[:, :5].T
+    yield _found([2, 3], *([c[kind == k] for k in (2, 3)] for c in (part, tid, first, last)))
+    rows, alike = rows[rows[:, 1] == 1], _Alike()
+    if not len(rows):
+        return
+    rows = rows[_same_around(alike, rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 5:].view(np.uint64))]
+    heads, n = _groups(rows[:, 0])
+    cuts = [0]
+    for end in np.cumsum(n).tolist():  # whole signatures, AT_ONCE rows or one signature at a time
+        if end == len(rows) or end - cuts[-1] >= AT_ONCE:
+            cuts.append(end)
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        key, _, tid, place, size = rows[a:z, :5].T
+        near = np.ascontiguousarray(rows[a:z, 5:]).view(np.uint32)
+        near, limits = near[:, :AROUND], near[:, AROUND].astype(np.int64)
+        root = np.unique(key, return_inverse=True)[1]
+        after = _nodes(root, near[:, REACH + RUN :], limits >> 8)
+        before = _nodes(root, near[:, :REACH][:, ::-1], limits & 255)
+        there, back = _Texts(root, tid, place, size, near, before, after), _Alike()
+        there.unbroken(alike)
+        there.one_break(alike)
+        del there
+        _Texts(root, tid, size - place - RUN, size, near[:, ::-1], after, before).one_break(back)
+        total = dict(zip(tid.tolist(), size.tolist(), strict=True))
+        alike.links += back.links
+        for spans in back.spans:
+            n_of = np.array([total[t] for t in spans[:, 0].tolist()], np.int64)
+            alike.spans.append(np.stack([spans[:, 0], n_of - 1 - spans[:, 2], n_of - 1 - spans[:, 1]], axis=1))
+    yield _settled(alike)
 
 
 def _covered(met: np.ndarray) -> np.ndarray:
@@ -404,7 +545,7 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans, links = np.array(out, np.int64).reshape(-1, 3), np.array(links, np.int64).reshape(-1, 2)
             tid, first, last = _merged(*spans.T)
             none = np.zeros(len(links), np.int64)
-            yield _long_rows([2, 3], [tid, links[:, 1]], [tid, links[:, 0]], [first, none], [last, none])
+            yield _found([2, 3], [tid, links[:, 1]], [tid, links[:, 0]], [first, none], [last, none])
 
 
 def _texts_of(keyed: DataFrame, single: DataFrame, need: DataFrame, n: int) -> DataFrame:
@@ -415,7 +556,7 @@ def _texts_of(keyed: DataFrame, single: DataFrame, need: DataFrame, n: int) -> D
 
 
 def found_alike(keyed: DataFrame, single: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed: doc_id, text, tid; single: tid, low (its least doc_id). Spans and links of texts that are alike (LONGER: kind 2
+    """keyed: doc_id, text, tid; single: tid, low (its least doc_id). Spans and links of texts that are alike (FOUND: kind 2
     has words first to last of tid, kind 3 texts tid and part), and the words of each text (tid, n) of SPAN shingles."""
     rows = keyed.select("tid", "text").mapInArrow(_windows, "part bigint, kind tinyint, key bigint, tid bigint")
     rows = rows.repartition("part").sortWithinPartitions("part")
@@ -427,11 +568,8 @@ def found_alike(keyed: DataFrame, single: DataFrame) -> tuple[DataFrame, DataFra
     if n:
         some = _texts_of(keyed, single, places.select("tid"), n)
         some = some.join(F.broadcast(places) if held <= BROADCAST_KEYS else places, "tid").select("tid", "text", "keys")
-        longer = materialise(some.mapInArrow(_longer, LONGER), "longer")
-        rest = longer.where("kind < 2").repartition("part").sortWithinPartitions("part")
-        rest = rest.mapInArrow(_by_key(["part", "kind", "tid", "first", "last"], _settle), LONGER)
-        done = materialise(longer.where("kind >= 2").unionByName(rest), "settled")
-        pairs = pairs.unionByName(done.where("kind = 4").select(F.least("tid", "part").alias("u"), F.greatest("tid", "part").alias("v")))
+        around = some.mapInArrow(_around, FOUND + ", near binary").repartition("part").sortWithinPartitions("part")
+        done = materialise(around.mapInArrow(_by_key(["part", "kind", "tid", "first", "last"], _about, "near"), FOUND), "settled")
     pairs = materialise(pairs.distinct(), "pairs")
     need = materialise(pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct(), "need")
     prints = materialise(_texts_of(keyed, single, need, need.count()).mapInArrow(_prints, "tid bigint, prints binary"), "prints")
@@ -441,8 +579,8 @@ def found_alike(keyed: DataFrame, single: DataFrame) -> tuple[DataFrame, DataFra
     pairs = sized.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
     both = pairs.join(prints.select(F.col("tid").alias("u"), F.col("prints").alias("a")), "u")
     both = both.join(prints.select(F.col("tid").alias("v"), F.col("prints").alias("b")), "v")
-    found = materialise(both.mapInArrow(_compare, LONGER), "alike")
-    found = found if done is None else found.unionByName(done.where("kind < 4"))
+    found = materialise(both.mapInArrow(_compare, FOUND), "alike")
+    found = found if done is None else found.unionByName(done)
     return found, met.where("kind = 2").select(F.col("u").alias("tid"), F.col("v").alias("n")).distinct()
 
 
@@ -459,11 +597,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of 0.8 or more of their SHINGLE-word shingles (see alike). A text of at least WORDS words that several rows hold is
     repeated as a whole; such texts are searched once.
 
-    Exact passages are all found. Texts that share one share a signature in it; if at most EACH texts have that, they are
-    compared each with each. If more have every signature of the passage, the texts share one of the runs of ENOUGH shingles
-    that are met on, and are linked by it however many they are, without a comparison. Near passages share a signature as
-    well and are found too, unless more than EACH texts have every signature that they share and also every two of them in
-    a row: then each text is compared with the least of these only.
+    Exact and near passages are all found. Texts that share one share a signature in it; if at most EACH texts have that, they
+    are compared each with each. If more have it, what is alike about it is told by keys that texts have in common if and
+    only if they are alike there: ENOUGH shingles around the signature, unbroken or with one break (see _about). So no pair is
+    passed over, and a key's texts are linked by its least one, however many they are.
 
     Words are runs without ASCII white space, A-Z in lower case; null and short texts have no passages. A null doc_id is an
     id like any other but names no component unless all are null. Rows that repeat both id and text give one result. Texts

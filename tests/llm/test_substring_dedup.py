@@ -215,3 +215,57 @@ def test_near_passages_of_the_least_similarity_are_found(spark):
     got = s.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == {i for i, _ in rows}
     assert all(r.component_id == 1000 + r.doc_id % 1000 for r in got)
+
+
+def test_near_passages_among_texts_that_share_a_part(spark):
+    """Two texts hold 24 and 25 words with one of their own between; nine more hold both with 20 of their own between."""
+    rng = random.Random(21)
+    text = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    rows = []
+    for k in range(60):
+        one, two = (text(24), text(25)) if k % 2 else (text(25), text(24))
+        rows += [(1000 * k + i, f"{text(30)} {one} {text(1 if i < 2 else 20)} {two} {text(30)}") for i in range(11)]
+    got = s.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, r.first_word, r.last_word, r.component_id) for r in got} == {(1000 * k + i, 30, 79, 1000 * k) for k in range(60) for i in (0, 1)}
+
+
+def test_what_many_texts_share_as_brute_force_finds_it():
+    """Every text counts as one of a large group: what _about tells of them against a comparison of each with each."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    line, rows = text(90), []
+    for _ in range(60):
+        w = list(line)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = text(rng.randrange(2))
+        at = rng.randrange(50)
+        rows.append(" ".join([*text(rng.randrange(40)), *w[at : at + rng.randrange(25, 90)], *text(30)]))
+    base, of = s.shingles(pa.array(rows))
+    at, key = s.signatures(base, of)
+    batch = pa.RecordBatch.from_pydict({"tid": list(range(60)), "text": rows, "keys": [np.unique(key[of[at] == i].view(np.int64)).tolist() for i in range(60)]})
+    slices = [batch.slice(0, 25), batch.slice(25)]
+    around = pa.Table.from_batches(s._around(iter(slices))).sort_by("part").combine_chunks().to_batches()
+    run = s._by_key(["part", "kind", "tid", "first", "last"], s._about, "near")
+    spans, links = defaultdict(set), {i: i for i in range(60)}
+
+    def root(i):
+        return i if links[i] == i else root(links[i])
+
+    for r in pa.Table.from_batches(run(iter(around))).to_pylist():
+        if r["kind"] == 2:
+            spans[r["tid"]].update(range(r["first"], r["last"] + 1))
+        else:
+            links[max(root(r["tid"]), root(r["part"]))] = min(root(r["tid"]), root(r["part"]))
+    want, met = defaultdict(set), {i: i for i in range(60)}
+    for i in range(60):
+        for j in range(i):
+            found = s.alike(base[of == i], base[of == j])
+            for k, places in zip((i, j), found, strict=True):
+                want[k].update(w for first, last in s.runs(places) for w in range(first, last + s.SHINGLE))
+            if found[0].any():
+                a, b = sorted((met[i], met[j]))
+                met = {k: a if m == b else m for k, m in met.items()}
+    assert sum(map(bool, want.values())) > 20
+    assert {i: p for i, p in spans.items() if p} == {i: p for i, p in want.items() if p}
+    assert {i: root(i) for i in range(60)} == met
