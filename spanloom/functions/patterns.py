@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
 # The default patterns, applied in this order.
 NUMERIC = r"[0-9]*\.?[0-9]+"
 WORDLIKE = r"\w+"
@@ -26,6 +31,9 @@ JAVA_WORD = r"[\p{L}\p{N}_]"
 KINDS = {"numeric": NUMERIC, "word": f"{JAVA_WORD}+", "misc": r"[^\p{IsWhite_Space}\x{1c}-\x{1f}\p{L}\p{N}_]"}
 
 INTERVAL = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("data", T.StringType())])
+#: Bytes of text that are tokenised at once, besides the last row of them: Spark bounds a batch by its rows, however long, and a
+#: token takes many times its own bytes.
+TEXT_BYTES = 1 << 20
 _ARROW_INTERVAL = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("data", pa.string())])
 
 
@@ -61,27 +69,61 @@ def check_patterns(patterns: Sequence[str], mask: str) -> list[re.Pattern]:
     return compiled
 
 
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about TEXT_BYTES of its text column, of one row at least; an empty batch as it is."""
+    total = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(text)), 0).cast(pa.int64())).to_numpy()
+    start = done = 0
+    while start < batch.num_rows or not batch.num_rows:
+        n = max(1, int(np.searchsorted(total, done + TEXT_BYTES, side="right")) - start)
+        yield batch.slice(start, n)
+        if start + n >= batch.num_rows:
+            return
+        start += n
+        done = int(total[start - 1])
+
+
+class _Strings:
+    """Strings as they are added, held as their bytes."""
+
+    def __init__(self):
+        self.bytes, self.ends = bytearray(), array("i", [0])
+
+    def append(self, value: str) -> None:
+        self.bytes += value.encode()
+        self.ends.append(len(self.bytes))
+
+    def finish(self) -> pa.Array:
+        return pa.StringArray.from_buffers(len(self.ends) - 1, pa.py_buffer(self.ends), pa.py_buffer(self.bytes))
+
+
+def _ints(values: array) -> pa.Array:
+    return pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
+
+
 def tokenise(df: DataFrame, text: str = "text", patterns: Sequence[str] = DEFAULT, to: str = "tokens", mask: str = " ") -> DataFrame:
     """df with column `to`: array<struct<start, stop, data>> of what the patterns match (see spans); places count code
     points and data comes from the unmasked text. Null text gives null. Row-local and without a shuffle, so it runs on
-    streams too: Spark has no expression for the places of all matches, and one built from split() needs a window."""
+    streams too, in slices of TEXT_BYTES: Spark has no expression for the places of all matches, and one built from split() needs a window."""
     compiled = check_patterns(patterns, mask)
     fields = [f for f in df.schema.fields if f.name != to]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            starts, stops, data, ends, null = [], [], [], [0], []
-            for t in batch.column(text).to_pylist():
-                null.append(t is None)
-                for a, b in spans(compiled, t or "", mask):
-                    starts.append(a)
-                    stops.append(b)
-                    data.append(t[a:b])
-                ends.append(len(starts))
-            items = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(data, pa.string())], fields=list(_ARROW_INTERVAL))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array(null, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), lists], names=[*(f.name for f in fields), to])
-
+            for part in slices(batch, text):
+                starts, stops, data, ends, null = array("i"), array("i"), _Strings(), array("i", [0]), []
+                for value in part.column(text):
+                    t = value.as_py()
+                    null.append(t is None)
+                    for a, b in spans(compiled, t or "", mask):
+                        starts.append(a)
+                        stops.append(b)
+                        data.append(t[a:b])
+                    ends.append(len(starts))
+                items = pa.StructArray.from_arrays([_ints(starts), _ints(stops), data.finish()], fields=list(_ARROW_INTERVAL))
+                lists = pa.ListArray.from_arrays(_ints(ends), items, mask=pa.array(null, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), lists], names=[*(f.name for f in fields), to])
+
+    bound_batches(df.sparkSession)
     return df.mapInArrow(batches, T.StructType([*fields, T.StructField(to, T.ArrayType(INTERVAL))]))
 
 

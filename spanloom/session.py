@@ -23,6 +23,13 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of rows that go to a Python worker at once, for rows that hold whole texts; Spark itself counts rows only.
+    A session that sets its own bound keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see. Where it is unset a local session gets one of its own; on
     a cluster that is an error, as each executor would write to its own disk."""

@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +66,19 @@ def test_transform_and_strip(spark):
 def test_codes(spark):
     row = spark.createDataFrame([("G#a_1 G#b G#a_1 #c",)], "x string").select(p.codes(F.col("x")).alias("c")).first()
     assert row.c == ["a_1", "b"]
+
+
+def test_long_texts_are_tokenised_in_slices(spark, monkeypatch):
+    """A worker holds the tokens of about TEXT_BYTES of text, however many rows come at once."""
+    texts = [None, "", *(f"é{i} 😀 3.5% " * 12_000 for i in range(30)), "x" * (3 << 20), None, "a b"]
+    taken = []
+    df = spark.createDataFrame([("a",)], "text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: taken.append(run))
+    p.tokenise(df)
+    out = list(taken[0](iter([pa.record_batch({"text": texts}), pa.record_batch({"text": pa.array([], pa.string())})])))
+    assert all(b.num_rows <= 1 or len("".join(t or "" for t in b["text"].to_pylist()).encode()) <= 1 << 20 for b in out) and len(out) > 5
+    rows = [r for b in out for r in zip(b["text"].to_pylist(), b["tokens"].to_pylist(), strict=True)]
+    assert [t for t, _ in rows] == texts
+    for text, tokens in rows:
+        want = None if text is None else p.spans(p.check_patterns(p.DEFAULT, " "), text)
+        assert (tokens and [(t["start"], t["stop"], t["data"]) for t in tokens]) == (want and [(a, b, text[a:b]) for a, b in want])
