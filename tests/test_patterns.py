@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.functions import patterns as p
+from spanloom.plans import catalog
 
 TEXTS = ["", "😀CH3 x²", "１２ full", "éa", "a\x1cb", "x y", ".5 5. 1.2.3 a_b", "the IL-2 gene, 3.5%", None]
 
@@ -82,3 +83,40 @@ def test_long_texts_are_tokenised_in_slices(spark, monkeypatch):
     for text, tokens in rows:
         want = None if text is None else p.spans(p.check_patterns(p.DEFAULT, " "), text)
         assert (tokens and [(t["start"], t["stop"], t["data"]) for t in tokens]) == (want and [(a, b, text[a:b]) for a, b in want])
+
+
+def test_texts_come_to_a_worker_in_batches_of_bytes(spark):
+    """Once something is tokenised, also where Spark's bound of rows is far away; a session's own bound stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    sizes = lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in it)
+    docs = spark.range(0, 40, 1, 1).selectExpr("repeat('word ', 200000) text")  # 1 MB each
+    try:
+        spark.conf.unset(setting)
+        p.tokenise(docs)
+        n = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(n) == 40 and max(n) <= 9
+        spark.conf.set(setting, "2m")
+        p.tokenise(docs)
+        assert spark.conf.get(setting) == "2m"
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("name", ["tokenise_spans"])
+def test_queries_tokenise_in_slices(spark, monkeypatch, name):
+    """What a query hands to workers yields the tokens of 1 MB of text at once, of rows that are shorter."""
+    taken, whole = [], type(spark.range(0)).mapInArrow
+
+    def noted(self, run, schema, *more):
+        taken.append((run, [f.name for f in schema.fields if f.name != "tokens"]))
+        return whole(self, run, schema, *more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", noted)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    texts = ["ab, 3.5 é " * 1000] * 400
+    assert taken
+    for run, columns in taken:
+        batch = pa.record_batch({c: pa.array(texts) if c == "text" else pa.nulls(len(texts)) for c in columns})
+        n = [b.num_rows for b in run(iter([batch]))]
+        assert sum(n) == len(texts) and max(n) * len(texts[0].encode()) <= 1 << 20
