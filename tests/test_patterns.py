@@ -103,7 +103,7 @@ def test_texts_come_to_a_worker_in_batches_of_bytes(spark):
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
-@pytest.mark.parametrize("name", ["tokenise_spans", "stitch_rows", "reload_spans"])
+@pytest.mark.parametrize("name", ["tokenise_spans", "word_encode", "stitch_rows", "reload_spans"])
 def test_queries_tokenise_in_slices(spark, monkeypatch, name):
     """What a query hands to workers yields the tokens of 1 MB of text at once, of rows that are shorter."""
     taken, whole = [], type(spark.range(0)).mapInArrow
